@@ -3,10 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm import language, minhash, mixing, packing, repeats
 from corvane.llm._spark import Tables
+from corvane.llm.queries import tokenizer_path
 
-STAGES: list = []
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID.  Texts that are null or have no letter go, and those whose main language has under half of them."""
+    found = language.identify(docs, language.fit(language.training_rows(docs)))
+    return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Min-max hashing.  The document with the smallest id of each near-duplicate group stays."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Run-length index.  Bytes of long strings that also start earlier go; documents of nothing else go too.
+
+    Where a cut falls inside a character, its bytes that are left go as well.
+    """
+    out = repeats.remove_repeats(docs).where("n_bytes > n_removed")
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, repeats.whole_characters("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Source mix.  Each document comes as often as the mix takes it, to the nearest whole copy."""
+    taken = mixing.mix(docs)[0].where("size > 0").select("doc_id", F.floor((F.col("taken") + F.expr("size div 2")) / F.col("size")).cast("int").alias("copies"))
+    many = docs.join(taken.where("copies > 0"), "doc_id")
+    return many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all that is left."""
+    return packing.pack(docs, packing.PackingConfig(tokenizer_path()))
+
+
+STAGES: list = [("language ID", identified), ("MinHash near-dedup", deduplicated), ("suffix-array dedup", without_repeats), ("mixing sources", mixed), ("best-fit packing", packed)]
 
 #: The stages train models and tokenise: no SQL for their rows; tests hold them against brute force.
 ORACLE_SQL = None

@@ -3,17 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm import _rows as R
+from corvane.llm import contextmix, fingerprints, language, media, minhash, mixing, packing, repeats, reputation
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.minhash import near_duplicates
+    return minhash.near_duplicates(_table(spark, sf_dir))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir), packing.PackingConfig(tokenizer_path()))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.clips(media.write_media(_table(spark, sf_dir)))
+    return out.withColumn("n_clips", F.size("clips")).drop("clips")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir)
+    model = language.fit(language.training_rows(docs))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (R.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", F.size("langs").alias("n_langs"))
+
+
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contextmix.score(_table(spark, sf_dir), R.remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_check(_table(spark, sf_dir))
 
-    return near_duplicates(_documents(spark, sf_dir))
 
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op4_media, op5_language, op6_scoring, op7_mixing, op8_reputation, op9_repeats, op10_fingerprints)}
 
-QUERIES = {"op1_minhash": op1_minhash}
+#: SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
