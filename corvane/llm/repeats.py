@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import _kernels as K
 from corvane.llm._spark import Tables
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
     return keyed.join(found, ["did", "th"], "left").select(*docs.columns, "did", "th", "spans").mapInArrow(run, f"{columns}, {extra}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def whole_characters(kept: pd.Series) -> pd.Series:
     """The text of UTF-8 bytes, without bytes that are no whole character."""
     return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
