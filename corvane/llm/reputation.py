@@ -75,7 +75,7 @@ def reputations(labelled: DataFrame, config: ReputationConfig = ReputationConfig
         up = groups.join(above.select(*on, F.col("mean").alias("prior")), on) if on else groups.crossJoin(F.broadcast(above.select(F.col("mean").alias("prior"))))
         up = up.crossJoin(F.broadcast(_weight(groups, "n", "k")))
         mean = (F.col("k") + F.col("m") * F.col("prior")) / (F.col("n") + F.col("m"))
-        return up.withColumn("mean", mean).withColumn("bound", F.col("mean") + config.deviations * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("m") + 1)))
+        return up.withColumn("mean", mean).withColumn("bound", F.least(F.lit(1.0), F.col("mean") + config.deviations * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("m") + 1))))
 
     s = level(suffixes, every, [])
     d = level(domains, s, ["suffix"])
