@@ -29,7 +29,7 @@ class MixConfig:
     block_words: int = 1024
     seed: int = 11
     #: Documents of one source that one task sorts.
-    bucket_rows: int = 50_000
+    bucket_rows: int = 2_000
 
 
 def targets(sizes: list[tuple[str | None, int]], config: MixConfig) -> dict[str | None, float]:
