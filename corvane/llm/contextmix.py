@@ -34,7 +34,7 @@ _HALF = math.log(0.5)
 @dataclass(frozen=True)
 class ScoreConfig:
     #: Text bytes of one bucket of documents, and grams of one partition.
-    bucket_bytes: int = 6 << 20
+    bucket_bytes: int = 16 << 20
     partition_grams: int = 400_000
 
 
@@ -194,8 +194,7 @@ def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFr
     grams = known.where("kind = 0")
     count = grams.count()
     near = F.expr("shiftright(key, 8) & 16777215")
-    grams = tables.write(grams.select("key", "n").repartition(max(1, -(-count // config.partition_grams)), near))
-    placed = grams.repartition(max(1, -(-count // config.partition_grams)), near)
+    placed = grams.select("key", "n").repartition(max(1, -(-count // config.partition_grams)), near)
 
     def gathered(batches):
         found = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]
@@ -221,9 +220,9 @@ def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFr
         if len(key):
             taught = c > 0
             levels = dict(top.value) | (climb(key[taught], c[taught])[0] if taught.any() else {d: Level(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for d in range(TOP + 1, DEPTH + 1)})
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log_probability(key, levels))], ["key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log_probability(key, levels), pa.float32())], ["key", "value"])
 
-    priced = placed.mapInArrow(downward, "key long, value double").select(F.lit(0).alias("kind"), "key", "value")
+    priced = placed.mapInArrow(downward, "key long, value float").select(F.lit(0).alias("kind"), "key", F.col("value").cast("double"))
     priced = tables.write(priced.unionByName(known.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value"))))
     here = wanted.where("kind < 2").select("bucket", "kind", "key").join(priced, ["kind", "key"])
     out = "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"

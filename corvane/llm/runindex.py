@@ -74,6 +74,7 @@ class RunLengthIndex:
         self.rank_before[order] = total - self.first_row[self.run_symbol[order]]
         self.symbol_at = np.searchsorted(self.run_symbol[order], np.arange(257))
         self.rows = n
+        self.run_keys = self.run_symbol[order].astype(np.int64) * (len(self.run_start) + 1) + order
         # blocks: rows whose first ``depth`` symbols are equal and whole
         whole = alive[sa] >= depth
         d = by[depth][sa]
@@ -126,8 +127,7 @@ class RunLengthIndex:
                 cm, rm = c[miss].astype(np.int64), run[miss]
                 lo, hi = self.symbol_at[cm], self.symbol_at[cm + 1]
                 # runs of the wanted symbol: the last before this run and the first after it
-                composite = self.run_symbol[self.by_symbol].astype(np.int64) * (len(self.run_start) + 1) + self.by_symbol
-                nxt = np.searchsorted(composite, cm * (len(self.run_start) + 1) + rm)
+                nxt = np.searchsorted(self.run_keys, cm * (len(self.run_start) + 1) + rm)
                 has_up, has_down = nxt > lo, nxt < hi
                 up = self.by_symbol[np.maximum(nxt - 1, 0)]
                 down = self.by_symbol[np.minimum(nxt, len(self.by_symbol) - 1)]
