@@ -61,7 +61,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     """(documents, schedule) of ``docs`` (doc_id, text, source; other columns are ignored).
 
     documents: doc_id, size, source, source_size, target, taken, one row for each row of ``docs``.
-    schedule: slot, rank (of the slot in its source), source, doc_id, first and last word (exclusive) of the part.
+    schedule: slot (a few numbers stay unused), rank (of the slot in its source), source, doc_id, first and last word (exclusive) of the part.
     Null or empty texts have size 0 and are never taken; a null source is a source; equal rows share their part in
     either order; an empty table gives empty results.
     """
