@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import _rows as R
-from corvane.llm import contextmix, fingerprints, language, media, minhash, mixing, packing, repeats, reputation
+from corvane.llm import contextmix, fingerprints, language, lines, media, minhash, mixing, packing, repeats, reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -27,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir), packing.PackingConfig(tokenizer_path()))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_lines(_table(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_units", "n_removed", "chars_removed", "kept_sha256")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.clips(media.write_media(_table(spark, sf_dir)))
     return out.withColumn("n_clips", F.size("clips")).drop("clips")
@@ -61,7 +66,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_check(_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op4_media, op5_language, op6_scoring, op7_mixing, op8_reputation, op9_repeats, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lines, op4_media, op5_language, op6_scoring, op7_mixing, op8_reputation, op9_repeats, op10_fingerprints)}
 
 #: SQL for the queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_lines": r"""
+WITH units AS (
+    SELECT doc_id, u.pos, u.unit
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_units FROM documents),
+         LATERAL (SELECT unnest(all_units) AS unit, generate_subscripts(all_units, 1) AS pos) u
+), named AS (
+    SELECT *, trim(translate(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS norm
+    FROM units
+), ranked AS (
+    SELECT doc_id, pos, unit, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM named
+)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+       coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS chars_removed,
+       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+}
