@@ -12,10 +12,14 @@ Pieces find their places by their rank among pieces of equal length: partition-l
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,58 @@ class PackingConfig:
     length: int = 1024
     #: Texts of about this many characters are encoded together.
     batch_chars: int = 1 << 20
+    #: Words whose ids one worker remembers.
+    known_words: int = 1 << 19
+
+#: How byte-level BPE vocabularies of this kind split a text before merging, and the characters for
+#: which every Unicode version and every pattern dialect agree on that.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_AGREED = re.compile("[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u203e]*")
+
+
+class Encoder:
+    """Ids of texts.  A tokenizer that splits texts by ``_SPLIT`` encodes each different word once, as merges never
+    cross words; other tokenizers, texts with special tokens and texts of other characters are encoded whole."""
+
+    def __init__(self, config: PackingConfig):
+        import json
+
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(config.tokenizer), config.known_words
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        with open(config.tokenizer, encoding="utf-8") as f:
+            made = json.load(f)
+        split, model = made.get("pre_tokenizer") or {}, made["model"]
+        self.by_word = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and model["type"] == "BPE" and not model.get("dropout") and made.get("normalizer") is None
+        )
+        special = [re.escape(x["content"]) for x in made.get("added_tokens") or []]
+        self.special = re.compile("|".join(special) or "(?!)")
+        self.split, self.known = regex.compile(_SPLIT), {}
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [coded.ids for coded in self.encode(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        plain = [self.by_word and bool(_AGREED.fullmatch(t)) and not self.special.search(t) for t in texts]
+        rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        words = [self.split.findall(t) if p else None for t, p in zip(texts, plain)]
+        new = {w for found in words if found for w in found} - self.known.keys()
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known = {}
+                new = {w for found in words if found for w in found}
+            new = list(new)
+            self.known.update(zip(new, self.whole(new)))
+        return [next(rest) if found is None else list(chain.from_iterable(map(self.known.__getitem__, found))) for found in words]
+
+
+@lru_cache(maxsize=1)
+def encoder(config: PackingConfig) -> Encoder:
+    """The encoder of a worker, kept from task to task."""
+    return Encoder(config)
 
 
 def plan(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -100,10 +156,7 @@ def pieces(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """One row for each piece, with its partition and its place among that partition's pieces of its length."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(config.tokenizer)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        encode = encoder(config)
         part, seen = TaskContext.get().partitionId(), np.zeros(config.length + 1, np.int64)
         for batch in batches:
             ids_column, texts = batch.column("doc_id").to_pylist(), R.strings(batch.column("text"))
@@ -114,8 +167,8 @@ def pieces(docs: DataFrame, config: PackingConfig) -> DataFrame:
                     size += len(texts[j])
                     j += 1
                 out = []
-                for doc_id, coded in zip(ids_column[i:j], encode(texts[i:j], add_special_tokens=False)):
-                    ids = np.array([*coded.ids, config.end_id], "<u4")
+                for doc_id, coded in zip(ids_column[i:j], encode(texts[i:j])):
+                    ids = np.array([*coded, config.end_id], "<u4")
                     first = (len(ids) - 1) % config.length + 1
                     start = 0
                     for piece, end in enumerate(range(first, len(ids) + 1, config.length)):

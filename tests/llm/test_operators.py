@@ -72,6 +72,15 @@ def test_packing(spark):
     assert [(r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 7] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
 
 
+def test_encoding_by_word_equals_whole_texts(sf):
+    import duckdb
+
+    texts = [r[0] or "" for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
+    texts += ["", "<|endoftext|> a", "naïve café x\x1c y\xa0z", "  lead  \n\n x'll 'tis ''s ²³ 12½ é2 日本語", "\t\t x\r\n  ", "x " * 50000, "don't   we've\n \n  they'd '' 'S"]
+    encode = packing.Encoder(packing.PackingConfig(Q.tokenizer_path(), known_words=5000))
+    assert encode.by_word and encode(texts) == encode.whole(texts) and encode(texts[:9]) == encode.whole(texts[:9])
+
+
 def test_plan_uses_exact_complements():
     assert sum(n for _, n in packing.plan({1000: 3, 24: 3, 500: 2, 300: 1, 224: 1}, 1024)) == 5
     rng = random.Random(2)
