@@ -126,7 +126,7 @@ def edit_check(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFr
             for bucket, doc_id, text, lead in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "lead"))):
                 if held is not None:
                     assert held[0] == bucket
-                    out.append((held[1], held[2], text))
+                    out.append((*held, text))
                 held = None if lead else (bucket, doc_id, text)
             if out:
                 yield out
@@ -137,17 +137,21 @@ def edit_check(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFr
             while i < len(rows):
                 j, size = i, 0
                 while j < len(rows) and (j == i or size < 1 << 20):
-                    size += len(rows[j][1])
+                    size += len(rows[j][2])
                     j += 1
                 part = rows[i:j]
-                changed = [edited(t, f) for _, t, f in part]
-                s = sketches([t for _, t, _ in part], config)
+                changed = [edited(t, f) for _, _, t, f in part]
+                s = sketches([t for _, _, t, _ in part], config)
                 e = sketches(changed, config)
-                f = s[1:] + sketches([part[-1][2]], config)
+                # the next tuple is the next document inside a bucket only; edges sketch the text that follows them
+                edges = [m for m, x in enumerate(part) if m + 1 == len(part) or part[m + 1][0] != x[0]]
+                f = s[1:] + s[:1]
+                for m, z in zip(edges, sketches([part[m][3] for m in edges], config)):
+                    f[m] = z
                 k = config.k
                 out = [
                     (d, len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), encode(a), encode(b), resemblance(a, b, k), resemblance(a, z, k), distinct(a, k), containment(a, b, k))
-                    for (d, t, _), c, a, b, z in zip(part, changed, s, e, f)
+                    for (_, d, t, _), c, a, b, z in zip(part, changed, s, e, f)
                 ]
                 names = [x.split()[0] for x in OUT.split(", ")]
                 types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]

@@ -196,6 +196,24 @@ def test_fingerprints(spark):
     assert (fingerprints.decode(fingerprints.encode(a[:128])) == a[:128]).all()
 
 
+def test_next_document_over_many_buckets(spark):
+    """near_next against brute force where a partition holds several buckets, not in the order of their ids."""
+    text = lambda i: f"text {i // 2} of many words " + " ".join(f"w{i // 2}x{j}" for j in range(30))
+    rows = [*ODD, *((100 + i, text(i)) for i in range(120))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = fingerprints.edit_check(table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(((d if d is not None else -(1 << 63), t or "") for d, t in rows), reverse=True)
+    config = fingerprints.SketchConfig()
+    s = fingerprints.sketches([t for _, t in order], config)
+    near = [fingerprints.resemblance(a, b, config.k) for a, b in zip(s, s[1:] + s[:1])]
+    want = sorted((d, fingerprints.encode(a), n) for (d, _), a, n in zip(order, s, near))
+    assert sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.fingerprint, r.near_next) for r in out) == want
+
+
 @pytest.mark.parametrize("f", [lambda d: packing.pack(d, packing.PackingConfig(Q.tokenizer_path())), lambda d: mixing.mix(d)[0], lambda d: media.clips(media.write_media(d)), lambda d: language.identify(d, language.fit(d)), lambda d: contextmix.score(d, F.lit(True)), repeats.remove_repeats, fingerprints.edit_check])
 def test_empty_tables(spark, f):
     assert f(table(spark, [])).collect() == []
