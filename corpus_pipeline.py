@@ -17,9 +17,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Min-max hashing.  The document with the smallest id of each near-duplicate group stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Min-max hashing.  One document of each near-duplicate group stays: that with the smallest id."""
+    return minhash.representatives(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +34,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Source mix.  Each document comes as often as the mix takes it, to the nearest whole copy."""
-    taken = mixing.mix(docs)[0].where("size > 0").select("doc_id", F.floor((F.col("taken") + F.expr("size div 2")) / F.col("size")).cast("int").alias("copies"))
-    many = docs.join(taken.where("copies > 0"), "doc_id")
-    return many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    """Source mix.  Each row comes as often as the mix takes it, to the nearest whole copy."""
+    # written once, so that a row has the same number in both branches of the join
+    docs = Tables(spark, "mixed").write(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mixing.mix(docs, keep=("_row",))[0].where("size > 0").select("_row", F.floor((F.col("taken") + F.expr("size div 2")) / F.col("size")).cast("int").alias("copies"))
+    many = docs.join(taken.where("copies > 0"), "_row").drop("_row")
+    columns = [c for c in many.columns if c != "copies"]
+    return many.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import _kernels as K
+from corvane.llm import _rows as R
 from corvane.llm._spark import Tables, components
 
 
@@ -173,12 +174,9 @@ def signed(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFram
     return docs.select("doc_id", "text", "th").mapInArrow(_sign(config), T.StructType([docs.schema["doc_id"]]).simpleString()[7:-1].replace(":", " ") + ", th long, n long, sid long, bands array<long>")
 
 
-def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Null or wordless texts have an empty set: they link with nothing and are kept.  Equal rows, and rows that
-    share a doc_id, are one row each; with a null doc_id the component's smallest id counts, and the row is kept
-    only if its component has no id.  An empty table gives an empty result.
+def grouped(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """(doc_id, th, n, root, component_id) for each row of ``docs``; th is the text's hash, root names the component
+    and is null for an empty set.
     """
     tables = Tables(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
@@ -215,15 +213,41 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
                 pairs = x.join(y, "band").where("sid > sid2 and root <> root2").where(_allowed("n", "u", "n2", "u2", config)).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
                 root, tested = _again(tables, pairs, tested, texts, root, config)
     if root is None:
-        grouped = rows.where("sid is not null").withColumn("root", F.col("sid"))
+        found = rows.where("sid is not null").withColumn("root", F.col("sid"))
     else:
-        grouped = rows.where("sid is not null").join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.select("doc_id", "n", "root").join(least, "root").select("doc_id", "n", "component_id")
-    out = out.unionByName(rows.where("sid is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        found = rows.where("sid is not null").join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = found.select("doc_id", "th", "n", "root").join(least, "root").select("doc_id", "th", "n", "root", "component_id")
+    return out.unionByName(rows.where("sid is null").select("doc_id", "th", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Null or wordless texts have an empty set: they link with nothing and are kept.  Equal rows, and rows that
+    share a doc_id, are one row each; with a null doc_id the component's smallest id counts, and the row is kept
+    only if its component has no id.  An empty table gives an empty result.
+    """
+    out = grouped(docs, config)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def representatives(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (null comes last), then text hash; of rows
+    that are equal in both, any one.  Rows of null or wordless texts all stay.
+    """
+    found = grouped(docs, config).where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    # keys without nulls: the join's exchange serves the choice among equal rows too
+    keys = ["_no", "_id", "_th"]
+    key = lambda doc_id, th: (doc_id.isNull().alias("_no"), F.coalesce(doc_id, F.lit(0)).alias("_id"), th.alias("_th"))
+    best = found.groupBy("root").agg(F.min(order).alias("m")).select(*key(F.col("m.doc_id"), F.col("m.th")))
+    wordy = F.coalesce("text", F.lit("")).rlike(R.WORD)
+    named = docs.where(wordy).select("*", *key(F.col("doc_id"), F.xxhash64("text")))
+    one = named.join(best, keys, "left_semi").dropDuplicates(keys)
+    return one.select(*docs.columns).unionByName(docs.where(~wordy))
+
+
 def _open(tables: Tables, members: DataFrame, root: DataFrame) -> DataFrame:
     """(band, sid, root) of the buckets that hold more than one component."""
     now = members.select("band", "sid").join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

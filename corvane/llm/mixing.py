@@ -57,10 +57,11 @@ def _before(df: DataFrame, tables: Tables, group: list[str], bucket: str, order:
     return local.join(sums, [*group, bucket]).withColumn("before", (F.col("_base") + F.col("_local")).cast("long")).drop("_base", "_local")
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, schedule) of ``docs`` (doc_id, text, source; other columns are ignored).
 
-    documents: doc_id, size, source, source_size, target, taken, one row for each row of ``docs``.
+    documents: doc_id, size, source, source_size, target, taken and the columns ``keep`` of the input, one row for
+    each row of ``docs``.
     schedule: slot (a few numbers stay unused), rank (of the slot in its source), source, doc_id, first and last word (exclusive) of the part.
     Null or empty texts have size 0 and are never taken; a null source is a source; equal rows share their part in
     either order; an empty table gives empty results.
@@ -68,10 +69,10 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     tables = Tables(spark, "mixing")
     shuffled = F.xxhash64("doc_id", "text", F.lit(config.seed))
-    sized = tables.write(docs.select("doc_id", "source", R.word_count(F.col("text")).alias("size"), shuffled.alias("h")))
+    sized = tables.write(docs.select("doc_id", "source", *keep, R.word_count(F.col("text")).alias("size"), shuffled.alias("h")))
     facts = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row for each source
     if not facts:
-        empty = sized.select("doc_id", "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+        empty = sized.select("doc_id", "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), *keep)
         return empty, sized.select(F.col("size").alias("slot"), F.col("size").alias("rank"), "source", "doc_id", F.col("size").alias("first"), F.col("size").alias("last"))
     goal = targets([(r["source"], r["n"]) for r in facts], config)
     order = sorted(goal, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
@@ -115,5 +116,5 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     taken = schedule.groupBy("k", "before").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     full = stream.where("size > 0").join(taken, ["k", "before"], "left")
     rows = full.unionByName(stream.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
     return out, schedule.drop("k", "before")
