@@ -43,6 +43,19 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return F.broadcast(rows).join(_t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").drop("vec_id")
 
 
+def table_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of documents and embeddings as a chunk, joined and dated by id."""
+    docs, vectors = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "full").withColumn("chunk_id", F.coalesce("doc_id", "vec_id"))
+    return rows.select("chunk_id", F.expr("date_add(DATE'2020-01-01', cast(chunk_id % 1461 as int))").alias("filing_date"), "text", "embedding")
+
+
+def table_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set that grows with the tables: every chunk whose id is divisible by 100, by its first three tokens and vector."""
+    first = F.array_join(F.slice(X.tokens(F.coalesce("text", F.lit(""))), 1, 3), " ")
+    return table_chunks(spark, sf).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), first.alias("query"), F.col("filing_date").alias("as_of"), F.col("embedding").alias("vector"))
+
+
 _BASE = """WITH chunks AS (SELECT doc_id AS chunk_id, DATE '2020-01-01' + CAST(doc_id % 1461 AS INTEGER) AS filing_date, text, embedding
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 asked AS (SELECT qid, query, CAST(day AS DATE) AS as_of, embedding AS vector FROM (VALUES """ + ", ".join(f"({q}, '{t}', '{d}', {v})" for q, t, d, v in ASKED) + """) v(qid, query, day, vid) LEFT JOIN embeddings ON vec_id = vid),
@@ -265,3 +278,58 @@ def format_sources_prompt(spark, sf):
 def precision_at_k(spark, sf):
     found = hybrid(chunks(spark, sf), asked(spark, sf)).join(_t(spark, sf, "labels"), F.col("chunk_id") == F.col("doc_id"), "left")
     return found.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("quality"), F.lit(0)) / F.count("*"), 6).alias("precision_at_k"))
+
+
+# The same searches with every hundredth row as a query; the SQL above and its four rows stay as they are.
+_TABLE = """WITH chunks AS (SELECT coalesce(doc_id, vec_id) AS chunk_id, DATE '2020-01-01' + CAST(coalesce(doc_id, vec_id) % 1461 AS INTEGER) AS filing_date, text, embedding
+  FROM documents FULL JOIN embeddings ON vec_id = doc_id),
+asked AS (SELECT chunk_id AS qid, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:3], ' ') AS query, filing_date AS as_of, embedding AS vector FROM chunks WHERE chunk_id % 100 = 0),
+""" + _BASE[_BASE.index("words AS ("):]
+
+
+def _by_table(name: str, of: str):
+    """Registers ``name``: the query ``of`` over table_chunks and table_asked."""
+    sql = _TABLE + ORACLE_SQL[of].removeprefix(_BASE)
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf: f(spark, sf, table_chunks(spark, sf), table_asked(spark, sf))
+        ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@_by_table("lexical_and_match_table", "lexical_and_match")
+def _(spark, sf, c, q):
+    return retrieval.matches(c, q).select("qid", "chunk_id", F.size("hits").cast("long").alias("n_hits"))
+
+
+@_by_table("lexical_cover_density_topk_table", "lexical_cover_density_topk")
+def _(spark, sf, c, q):
+    return retrieval.lexical(c, q).select("qid", "chunk_id", "score", "rank")
+
+
+@_by_table("lexical_bm25_topk_table", "lexical_bm25_topk")
+def _(spark, sf, c, q):
+    return retrieval.bm25(c, q).select("qid", "chunk_id", "score", "rank")
+
+
+@_by_table("dense_topk_table", "dense_batch_topk")
+def _(spark, sf, c, q):
+    return retrieval.dense(c, q).select("qid", "chunk_id", "score", "rank")
+
+
+@_by_table("rrf_fusion_table", "rrf_fusion")
+def _(spark, sf, c, q):
+    return retrieval.fuse([retrieval.lexical(c, q), retrieval.dense(c, q)], 60, 25).select("qid", "chunk_id", "score", "rank")
+
+
+@_by_table("hybrid_search_table", "hybrid_search_batch")
+def _(spark, sf, c, q):
+    return hybrid(c, q)
+
+
+@_by_table("precision_at_k_table", "precision_at_k")
+def _(spark, sf, c, q):
+    found = hybrid(c, q).join(_t(spark, sf, "labels"), F.col("chunk_id") == F.col("doc_id"), "left")
+    return found.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("quality"), F.lit(0)) / F.count("*"), 6).alias("precision_at_k"))
