@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from corvane.functions import text as X
 from corvane.operators import retrieval as O
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, candidates: int = 50, pool: int = 25, k: int = 60, top_k: int = 10) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, candidates: int = 50, pool: int = 25, k: int = 60, top_k: int = 10, stop: tuple[str, ...] = X.STOP) -> DataFrame:
     """(qid, rank, chunk_id, filing_date, text, score); texts are fetched for the pool only."""
     if top_k <= 0 or pool <= 0 or pool > candidates:
         raise ValueError("top_k and pool must be positive, pool at most candidates")
-    fused = O.fuse([O.lexical(chunks, queries, candidates), O.dense(chunks, queries, candidates)], k, pool)
+    fused = O.fuse([O.lexical(chunks, queries, candidates, stop), O.dense(chunks, queries, candidates)], k, pool)
     asked = queries.select("qid", "query", "as_of")
     found = chunks.select("chunk_id", "filing_date", "text").join(fused.drop("score"), "chunk_id").join(asked, "qid").where("filing_date <= as_of")
     return O.rerank(found, top_k).select("qid", "rank", "chunk_id", "filing_date", "text", "score")

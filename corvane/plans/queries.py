@@ -18,6 +18,10 @@ ORACLE_SQL: dict[str, str] = {}
 ASKED = ((1, "the and", "2022-06-30", 3), (2, "nt the of", "2023-12-31", 17), (3, "la de", "2021-03-01", 42), (4, "  ", "2023-01-01", 5))
 
 
+#: The queries over ASKED match every token, stop-words too, as their SQL does; those named _table leave stop-words out.
+EVERY: tuple[str, ...] = ()
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -98,12 +102,12 @@ def postings_df(spark, sf):
 
 @query(_BASE + "SELECT qid, chunk_id, count(*) AS n_hits FROM hit GROUP BY 1, 2")
 def lexical_and_match(spark, sf):
-    return retrieval.matches(chunks(spark, sf), asked(spark, sf)).select("qid", "chunk_id", F.size("hits").cast("long").alias("n_hits"))
+    return retrieval.matches(chunks(spark, sf), asked(spark, sf), EVERY).select("qid", "chunk_id", F.size("hits").cast("long").alias("n_hits"))
 
 
 @query(_BASE + "SELECT qid, chunk_id, score, rank FROM lex")
 def lexical_cover_density_topk(spark, sf):
-    return retrieval.lexical(chunks(spark, sf), asked(spark, sf)).select("qid", "chunk_id", "score", "rank")
+    return retrieval.lexical(chunks(spark, sf), asked(spark, sf), stop=EVERY).select("qid", "chunk_id", "score", "rank")
 
 
 @query(_BASE + """, dl AS (SELECT chunk_id, len(w) AS dl FROM words), facts AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
@@ -111,7 +115,7 @@ df AS (SELECT lexeme, count(DISTINCT chunk_id) AS df FROM post GROUP BY 1), tf A
 s AS (SELECT qid, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (lexeme) JOIN dl USING (chunk_id), facts GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50""")
 def lexical_bm25_topk(spark, sf):
-    return retrieval.bm25(chunks(spark, sf), asked(spark, sf)).select("qid", "chunk_id", "score", "rank")
+    return retrieval.bm25(chunks(spark, sf), asked(spark, sf), stop=EVERY).select("qid", "chunk_id", "score", "rank")
 
 
 @query(_BASE + "SELECT qid, chunk_id, score, rank FROM den")
@@ -122,23 +126,23 @@ def dense_batch_topk(spark, sf):
 @query(_BASE + "SELECT qid, chunk_id, score, rank FROM fused")
 def rrf_fusion(spark, sf):
     c, q = chunks(spark, sf), asked(spark, sf)
-    return retrieval.fuse([retrieval.lexical(c, q), retrieval.dense(c, q)], 60, 25).select("qid", "chunk_id", "score", "rank")
+    return retrieval.fuse([retrieval.lexical(c, q, stop=EVERY), retrieval.dense(c, q)], 60, 25).select("qid", "chunk_id", "score", "rank")
 
 
 @query(_BASE + "SELECT * FROM rer")
 def hybrid_search_batch(spark, sf):
-    return hybrid(chunks(spark, sf), asked(spark, sf))
+    return hybrid(chunks(spark, sf), asked(spark, sf), stop=EVERY)
 
 
 @query(_BASE + "SELECT rank, chunk_id, filing_date, text, score FROM rer WHERE qid = 1")
 def hybrid_search(spark, sf):
-    return hybrid(chunks(spark, sf), asked(spark, sf).where("qid = 1")).drop("qid")
+    return hybrid(chunks(spark, sf), asked(spark, sf).where("qid = 1"), stop=EVERY).drop("qid")
 
 
 @query(_BASE + "SELECT qid, count(*) AS n, count(*) FILTER (WHERE filing_date > as_of) AS later FROM rer JOIN asked USING (qid) GROUP BY 1")
 def asof_leakage_audit(spark, sf):
     q = asked(spark, sf)
-    return hybrid(chunks(spark, sf), q).join(q.select("qid", "as_of"), "qid").groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("filing_date") > F.col("as_of")).alias("later"))
+    return hybrid(chunks(spark, sf), q, stop=EVERY).join(q.select("qid", "as_of"), "qid").groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("filing_date") > F.col("as_of")).alias("later"))
 
 
 _BLOCKS = "|".join(X.BLOCKS)
@@ -269,14 +273,14 @@ def system_lift(spark, sf):
 FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 8 GROUP BY 1""")
 def format_sources_prompt(spark, sf):
     c = chunks(spark, sf)
-    rows = retrieval.lexical(c, asked(spark, sf), 8).join(c.select("chunk_id", "filing_date", "text"), "chunk_id")
+    rows = retrieval.lexical(c, asked(spark, sf), 8, EVERY).join(c.select("chunk_id", "filing_date", "text"), "chunk_id")
     head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), S.padded(F.col("chunk_id").cast("string")), F.lit(" — doc — "), F.date_format("filing_date", "yyyy-MM-dd"), F.lit(" — -\n"), "text")
     return rows.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", head.alias("s"))))["s"], "\n\n").alias("sources"))
 
 
 @query(_BASE + "SELECT qid, count(*) AS n, round(coalesce(sum(quality), 0) / count(*), 6) AS precision_at_k FROM rer LEFT JOIN labels ON doc_id = chunk_id GROUP BY 1")
 def precision_at_k(spark, sf):
-    found = hybrid(chunks(spark, sf), asked(spark, sf)).join(_t(spark, sf, "labels"), F.col("chunk_id") == F.col("doc_id"), "left")
+    found = hybrid(chunks(spark, sf), asked(spark, sf), stop=EVERY).join(_t(spark, sf, "labels"), F.col("chunk_id") == F.col("doc_id"), "left")
     return found.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("quality"), F.lit(0)) / F.count("*"), 6).alias("precision_at_k"))
 
 
@@ -284,7 +288,10 @@ def precision_at_k(spark, sf):
 _TABLE = """WITH chunks AS (SELECT coalesce(doc_id, vec_id) AS chunk_id, DATE '2020-01-01' + CAST(coalesce(doc_id, vec_id) % 1461 AS INTEGER) AS filing_date, text, embedding
   FROM documents FULL JOIN embeddings ON vec_id = doc_id),
 asked AS (SELECT chunk_id AS qid, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:3], ' ') AS query, filing_date AS as_of, embedding AS vector FROM chunks WHERE chunk_id % 100 = 0),
-""" + _BASE[_BASE.index("words AS ("):]
+""" + _BASE[_BASE.index("words AS ("):].replace(
+    "list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS t FROM asked",
+    "list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP) + ")) AS t FROM asked",
+)
 
 
 def _by_table(name: str, of: str):

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from corvane.operators import retrieval
 from corvane.plans import queries as P
 from test_oracle import TABLES, rows
 
@@ -24,3 +25,12 @@ def test_larger_table_equals_sql(spark, name):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = rows(con.sql(P.ORACLE_SQL[name]).df())
     assert rows(P.QUERIES[name](spark, sf).toPandas()) == want and want
+
+
+def test_stop_words(spark):
+    """Only the other lexemes must match, at their places with stop-words counted; stop-words alone match nothing."""
+    c = spark.createDataFrame([(1, "outlook for growth"), (2, "the outlook"), (3, "the and")], "chunk_id long, text string").selectExpr("*", "date'2020-01-01' filing_date")
+    q = spark.createDataFrame([(1, "the outlook"), (2, "the and"), (3, "outlook of growth"), (4, " ")], "qid long, query string").selectExpr("*", "date'2021-01-01' as_of")
+    assert sorted((r.qid, r.chunk_id) for r in retrieval.matches(c, q).collect()) == [(1, 1), (1, 2), (3, 1)]
+    assert sorted((r.qid, r.chunk_id, r.score) for r in retrieval.lexical(c, q).collect()) == [(1, 1, 0.1), (1, 2, 0.1), (3, 1, 0.05)]
+    assert sorted({(r.qid, r.chunk_id) for r in retrieval.bm25(c, q).collect()}) == [(1, 1), (1, 2), (3, 1), (3, 2)]  # any lexeme
