@@ -26,8 +26,6 @@ class LanguageConfig:
     #: Labelled rows that one language's model is fitted on, at most.
     sample_rows: int = 1000
     steps: int = 12
-    #: Languages that one document's set can hold.
-    most: int = 4
 
 
 def gram_ids(data: np.ndarray, config: LanguageConfig) -> np.ndarray:
@@ -61,7 +59,7 @@ class LanguageModel:
         top = logs.max(axis=1, keepdims=True)
         like = np.exp(logs - top)
         base, n = float(weight @ top[:, 0]), float(weight.sum())
-        while len(chosen) < min(config.most, len(self.names)):
+        while len(chosen) < len(self.names):  # the penalised likelihood ends the search
             mixed = like @ share
             gain = {k: float(weight @ np.log(0.9 * mixed + 0.1 * like[:, k])) for k in range(len(self.names)) if k not in chosen}
             k = max(gain, key=gain.get)

@@ -214,6 +214,12 @@ def test_next_document_over_many_buckets(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.fingerprint, r.near_next) for r in out) == want
 
 
+def test_a_text_of_six_languages():
+    logs = np.log(np.full((6, 6), 0.01) + np.eye(6) * 0.94)
+    share = language.LanguageModel(list("abcdef"), logs).mixture(np.repeat(np.arange(6), 200), language.LanguageConfig())
+    assert np.allclose(share, 1 / 6, atol=0.01)
+
+
 @pytest.mark.parametrize("f", [lambda d: packing.pack(d, packing.PackingConfig(Q.tokenizer_path())), lambda d: mixing.mix(d)[0], lambda d: media.clips(media.write_media(d)), lambda d: language.identify(d, language.fit(d)), lambda d: contextmix.score(d, F.lit(True)), repeats.remove_repeats, fingerprints.edit_check])
 def test_empty_tables(spark, f):
     assert f(table(spark, [])).collect() == []
