@@ -1,25 +1,26 @@
 """Best-fit packing by exact complements.
 
 A document's ids are cut from its end, so only the first piece can be shorter than a sequence.  The plan needs no
-more than the count of pieces of each length, a table of at most ``length`` rows: combinations of one, two and three
-lengths that fill a sequence exactly are consumed under the counts, then the largest residual opens a sequence and
-the best fitting residual fills its gap, until nothing fits.  Equal steps are taken for all counts at once, so the
-plan is a short list of (lengths, repeats) whatever the corpus holds.
+more than the count of pieces of each length, a table of at most ``length`` rows: the longest piece left opens a
+sequence; a single piece, a pair or a triple that fills its gap exactly is consumed under the counts, and where there
+is none the best fitting piece narrows the gap.  Steps that repeat are taken for all their counts at once, so the plan
+is a short list of (lengths, repeats) whatever the corpus holds.  Pairs and triples can eat the small pieces that later
+gaps need, so the plan is made for several reaches and the one with the fewest sequences counts, plain best fit among
+them.
 
 Pieces find their places by their rank among pieces of equal length: partition-local ranks plus prefix sums of
-(partition, length) counts.  No piece list is gathered anywhere.
+(partition, length) counts.  No piece list is gathered anywhere, and a worker remembers no words between texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,9 @@ class PackingConfig:
     tokenizer: str
     end_id: int = 2
     length: int = 1024
-    #: Texts of about this many characters are encoded together.
+    #: Texts of about this many characters make one batch of rows.
     batch_chars: int = 1 << 20
-    #: Words whose ids one worker remembers.
-    known_words: int = 1 << 19
+
 
 #: How byte-level BPE vocabularies of this kind split a text before merging, and the characters for
 #: which every Unicode version and every pattern dialect agree on that.
@@ -45,95 +45,128 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _AGREED = re.compile("[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u203e]*")
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for themselves, the
+    others follow from code point 256 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts.  A tokenizer that splits texts by ``_SPLIT`` encodes each different word once, as merges never
-    cross words; other tokenizers, texts with special tokens and texts of other characters are encoded whole."""
+    """Ids of texts, as arrays of 32-bit numbers.
 
-    def __init__(self, config: PackingConfig):
-        import json
+    If the tokenizer is a byte-level BPE whose ids follow the order of its merges, its vocabulary also drives a
+    faster BPE coder, for texts of the characters ``_AGREED`` without a special token; all others, and other
+    tokenizers, are encoded by the tokenizer itself.
+    """
 
+    def __init__(self, config: PackingConfig):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(config.tokenizer), config.known_words
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.tokenizer = Tokenizer.from_file(config.tokenizer)
         with open(config.tokenizer, encoding="utf-8") as f:
             made = json.load(f)
-        split, model = made.get("pre_tokenizer") or {}, made["model"]
-        self.by_word = (
-            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-            and model["type"] == "BPE" and not model.get("dropout") and made.get("normalizer") is None
-        )
         special = [re.escape(x["content"]) for x in made.get("added_tokens") or []]
         self.special = re.compile("|".join(special) or "(?!)")
-        self.split, self.known = regex.compile(_SPLIT), {}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [coded.ids for coded in self.encode(texts, add_special_tokens=False)]
+        self.fast = self._fast(made)
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        plain = [self.by_word and bool(_AGREED.fullmatch(t)) and not self.special.search(t) for t in texts]
-        rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
-        words = [self.split.findall(t) if p else None for t, p in zip(texts, plain)]
-        new = {w for found in words if found for w in found} - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = {w for found in words if found for w in found}
-            new = list(new)
-            self.known.update(zip(new, self.whole(new)))
-        return [next(rest) if found is None else list(chain.from_iterable(map(self.known.__getitem__, found))) for found in words]
+    @staticmethod
+    def _fast(made: dict):
+        split, model = made.get("pre_tokenizer") or {}, made["model"]
+        if (
+            split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space")
+            or model["type"] != "BPE" or model.get("dropout") or made.get("normalizer") is not None
+        ):
+            return None
+        import tiktoken
+
+        byte, special = _byte_of(), {x["content"] for x in made.get("added_tokens") or []}
+        ids = {t: i for t, i in model["vocab"].items() if t not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [ids.get(a + b) for a, b in pairs]
+        if None in order or order != sorted(set(order)) or not all(c in byte for t in ids for c in t):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in ids.items()}
+        if any(bytes([b]) not in ranks for b in range(256)) or max(ranks[bytes([b])] for b in range(256)) > min(order, default=1 << 31):
+            return None
+        return tiktoken.Encoding("from_file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or not _AGREED.fullmatch(text) or self.special.search(text):
+            return self.whole(text)
+        return np.frombuffer(self.fast.encode_to_tiktoken_buffer(text, set()), "=u4").astype("<u4", copy=False)
 
 
 @lru_cache(maxsize=1)
 def encoder(config: PackingConfig) -> Encoder:
-    """The encoder of a worker, kept from task to task."""
+    """The encoder of a worker, kept from task to task; it holds the vocabulary and nothing of the texts."""
     return Encoder(config)
 
 
-def plan(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(piece lengths of a sequence, how many such sequences)] that use up ``counts``."""
+def _pair(left: np.ndarray, gap: int, most: int, even: bool) -> tuple[int, ...]:
+    """Two lengths of ``left`` whose sum is ``gap``, the larger of at most ``most``: the least even two, or the most."""
+    x = np.arange(min(most, gap - 1), (gap + 1) // 2 - 1, -1)
+    there = np.flatnonzero((left[x] > 0) & (left[gap - x] > (2 * x == gap)))
+    if not len(there):
+        return ()
+    k = x[there[-1 if even else 0]]
+    return int(k), int(gap - k)
+
+
+def _complement(left: np.ndarray, gap: int, reach: int, even: bool) -> tuple[int, ...]:
+    """Up to ``reach`` lengths that fill ``gap`` exactly."""
+    if left[gap]:
+        return (gap,)
+    found = _pair(left, gap, gap, even) if reach > 1 else ()
+    if found or reach < 3:
+        return found
+    for x in range(gap - 2, (gap + 2) // 3 - 1, -1):
+        if left[x]:
+            left[x] -= 1
+            found = _pair(left, gap - x, x, even)
+            left[x] += 1
+            if found:
+                return (x, *found)
+    return ()
+
+
+def _fill(counts: dict[int, int], length: int, reach: int, even: bool, floor: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan; below ``floor`` an opening piece takes single complements only."""
     left = np.zeros(length + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...], n: int) -> None:
-        if n:
-            for x in lengths:
-                left[x] -= n
-            out.append((lengths, int(n)))
-
-    take((length,), left[length])
-    for a in range(length - 1, length // 2, -1):
-        take((a, length - a), min(left[a], left[length - a]))
-    if length % 2 == 0:
-        take((length // 2,) * 2, left[length // 2] // 2)
-    for a in range(length - 2, 0, -1):
-        if not left[a]:
-            continue
-        for b in range(min(a, length - a - 1), 0, -1):
-            c = length - a - b
-            if c > b or not left[a]:
-                break
-            if left[b] and left[c]:
-                need = {x: (a, b, c).count(x) for x in (a, b, c)}
-                take((a, b, c), min(left[x] // k for x, k in need.items()))
     for a in range(length, 0, -1):
         while left[a]:
-            lengths, gap = (a,), length - a
-            uses = {a: 1}
+            free, found, gap = left.copy(), [a], length - a
+            free[a] -= 1
             while gap:
-                fits = [x for x in range(gap, 0, -1) if left[x] > uses.get(x, 0)][:1]
+                exact = _complement(free, gap, reach if a >= floor else 1, even)
+                fits = exact or tuple(np.flatnonzero(free[: gap + 1])[-1:].tolist())
                 if not fits:
                     break
-                x = fits[0]
-                # the same length again, as often as it fits and lasts
-                uses[x] = uses.get(x, 0) + 1
-                lengths, gap = (*lengths, x), gap - x
-            take(lengths, min(left[x] // k for x, k in uses.items()))
+                for x in fits:
+                    free[x] -= 1
+                    found.append(x)
+                    gap -= x
+            uses = {x: found.count(x) for x in found}
+            n = int(min(left[x] // k for x, k in uses.items()))
+            for x, k in uses.items():
+                left[x] -= k * n
+            out.append((tuple(found), n))
     return out
 
 
+def plan(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
+    """[(piece lengths of a sequence, how many such sequences)] that use up ``counts``, the shortest of several."""
+    ways = [(1, False, 0)] + [(reach, even, length * part // 16) for reach in (2, 3) for even in (False, True) for part in (0, 8, 11, 14)]
+    return min((_fill(counts, length, *way) for way in ways), key=lambda made: sum(n for _, n in made))
+
+
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length the rows (first rank, first sequence, offset, 1), in order of rank."""
     rows: dict[int, list] = {}
@@ -157,29 +190,30 @@ def pieces(docs: DataFrame, config: PackingConfig) -> DataFrame:
 
     def run(batches):
         encode = encoder(config)
-        part, seen = TaskContext.get().partitionId(), np.zeros(config.length + 1, np.int64)
+        part, seen, end_id = TaskContext.get().partitionId(), np.zeros(config.length + 1, np.int64), np.array([config.end_id], "<u4")
+        names = [x.split()[0] for x in PIECE.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+        def made(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
         for batch in batches:
-            ids_column, texts = batch.column("doc_id").to_pylist(), R.strings(batch.column("text"))
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= config.batch_chars):
-                    size += len(texts[j])
-                    j += 1
-                out = []
-                for doc_id, coded in zip(ids_column[i:j], encode(texts[i:j])):
-                    ids = np.array([*coded, config.end_id], "<u4")
-                    first = (len(ids) - 1) % config.length + 1
-                    start = 0
-                    for piece, end in enumerate(range(first, len(ids) + 1, config.length)):
-                        n = end - start
-                        out.append((doc_id, piece, start, n, R.crc(ids[start:end].tobytes()), part, int(seen[n])))
-                        seen[n] += 1
-                        start = end
-                columns = list(zip(*out))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in PIECE.split(", ")])
-                i = j
+            out, size, texts = [], 0, batch.column("text")
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                text = texts[k].as_py() or ""  # one text at a time: only its ids are held
+                ids = np.concatenate([encode(text), end_id])
+                raw, start = ids.tobytes(), 0
+                for piece, end in enumerate(range((len(ids) - 1) % config.length + 1, len(ids) + 1, config.length)):
+                    n = end - start
+                    out.append((doc_id, piece, start, n, R.crc(raw[4 * start : 4 * end]), part, int(seen[n])))
+                    seen[n] += 1
+                    start = end
+                size += len(text)
+                if size >= config.batch_chars:
+                    yield made(out)
+                    out, size = [], 0
+            if out:
+                yield made(out)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
@@ -211,5 +245,6 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(each.drop("n"), ["part", "length"])
+    # a partition x length table grows with the input: it is shuffled, never broadcast
+    ranked = cut.join(each.drop("n").hint("merge"), ["part", "length"])
     return ranked.mapInArrow(settle, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

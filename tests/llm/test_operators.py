@@ -72,25 +72,54 @@ def test_packing(spark):
     assert [(r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 7] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
 
 
-def test_encoding_by_word_equals_whole_texts(sf):
+def test_fast_encoding_equals_the_tokenizer(sf):
     import duckdb
 
     texts = [r[0] or "" for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
-    texts += ["", "<|endoftext|> a", "naïve café x\x1c y\xa0z", "  lead  \n\n x'll 'tis ''s ²³ 12½ é2 日本語", "\t\t x\r\n  ", "x " * 50000, "don't   we've\n \n  they'd '' 'S"]
-    encode = packing.Encoder(packing.PackingConfig(Q.tokenizer_path(), known_words=5000))
-    assert encode.by_word and encode(texts) == encode.whole(texts) and encode(texts[:9]) == encode.whole(texts[:9])
+    texts += ["", "<|endoftext|> a", "naïve café x\x1c y\xa0z", "  lead  \n\n x'll 'tis ''s ²³ 12½ é2 日本語", "\t\t x\r\n  ", "x " * 50000, "don't   we've\n \n  they'd '' 'S", "a" * 20000, " " * 20000, "\n" * 9999, "...!" * 5000, "12345" * 4000, "\u0130\u0149 ŉ ǅ \u00ad\u00aa\u00ba"]
+    encode = packing.Encoder(packing.PackingConfig(Q.tokenizer_path()))
+    assert encode.fast is not None
+    for t in texts:
+        assert encode(t).tolist() == encode.whole(t).tolist()
+
+
+def best_fit(counts, length):
+    """Sequences that plain best fit, longest pieces first, needs."""
+    gaps, n = {}, 0
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            gap = min((g for g, k in gaps.items() if k and g >= size), default=None)
+            if gap is None:
+                gap, n = length, n + 1
+            else:
+                gaps[gap] -= 1
+            gaps[gap - size] = gaps.get(gap - size, 0) + 1
+    return n
 
 
 def test_plan_uses_exact_complements():
     assert sum(n for _, n in packing.plan({1000: 3, 24: 3, 500: 2, 300: 1, 224: 1}, 1024)) == 5
+    assert sum(n for _, n in packing.plan({600: 1, 200: 1, 150: 1, 74: 1, 424: 1}, 1024)) == 2
     rng = random.Random(2)
-    counts = {n: rng.randint(1, 50) for n in range(1, 1025)}
-    used = {}
-    for lengths, n in packing.plan(counts, 1024):
-        assert sum(lengths) <= 1024
-        for x in lengths:
-            used[x] = used.get(x, 0) + n
-    assert used == counts
+    for most in (1024, 1024, 200, 40):
+        counts = {n: rng.randint(1, 50) for n in rng.sample(range(1, 1025), most) if rng.random() < 0.8}
+        used = {}
+        made = packing.plan(counts, 1024)
+        for lengths, n in made:
+            assert sum(lengths) <= 1024
+            for x in lengths:
+                used[x] = used.get(x, 0) + n
+        assert used == counts
+        assert sum(n for _, n in made) <= best_fit(counts, 1024)
+
+
+def test_no_more_sequences_than_best_fit(spark):
+    sf = "/root/testdata/sf0.01"
+    out = Q.op2_packing(spark, sf).select("length", "sequence_id").collect()
+    counts = {}
+    for r in out:
+        counts[r.length] = counts.get(r.length, 0) + 1
+    assert len({r.sequence_id for r in out}) <= best_fit(counts, 1024)
 
 
 def test_mixing(spark):
