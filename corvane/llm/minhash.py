@@ -12,8 +12,11 @@ none of which lists all pairs of a bucket:
 1. every set meets one leader, that of most of its buckets (bucket leader: the smallest set id);
 2. in buckets that still hold several components, sets meet the most central member: the one with the smallest
    share of shingles that no other open set has;
-3. what is left apart meets across components, where ``|A & B| <= min(|A| - u(A), |B| - u(B))`` (``u``: shingles
-   that only this set has) still allows the similarity.  The bound is exact, so no link is lost.
+3. what is left apart meets in blocks.  Of the components of a bucket that with most members is its *major* one; sets
+   of the others meet all members of the major component, which come once for all their buckets, and each other in
+   the bucket.  A block of them is indexed by shingle, the other side streams past it, and overlaps are counted in
+   the index, so that no pair becomes a row.  A set takes part if ``|A| - u(A)`` (``u``: shingles that no other open
+   set has) still allows the similarity.  That bound is exact, so no link is lost.
 
 Each candidate is confirmed on the full shingle sets, recomputed from whole texts.  Buckets of one component are
 closed: a further link in them could not change the result.
@@ -45,8 +48,10 @@ class MinHashConfig:
     permutations: int = 96
     rows: int = 4
     seed: int = 7
-    #: Members of one leader that one task compares.
+    #: Members of one leader, or sets that stream past a block, that one task compares.
     salt_rows: int = 500
+    #: Shingles of one indexed block.
+    block_shingles: int = 1 << 20
     #: Bits of the filter that keeps texts without candidates from being shuffled; a full filter only costs time.
     bloom_bits: int = 1 << 24
 
@@ -127,6 +132,74 @@ def _confirm(config: MinHashConfig):
     return run
 
 
+class _Block:
+    """Sets indexed by shingle, and which of their components are known to be linked."""
+
+    def __init__(self):
+        self.sid: list[int] = []
+        self.root: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.up: dict[int, int] = {}
+        self.shingle = None
+
+    def find(self, root: int) -> int:
+        while self.up.setdefault(root, root) != root:
+            root = self.up[root]
+        return root
+
+    def add(self, sid: int, root: int, hashes: np.ndarray) -> None:
+        self.sid.append(sid)
+        self.root.append(root)
+        self.sets.append(hashes)
+
+    def close(self) -> None:
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        every, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.shingle, self.owner, self.sets = every[order], owner[order], []
+
+    def links(self, sid: int, root: int, hashes: np.ndarray, per_cent: int) -> list[int]:
+        """Sets of the block that link with this one, one for each component that is not yet linked with its own."""
+        if not self.sid:
+            return []
+        if self.shingle is None:
+            self.close()
+        lo, hi = np.searchsorted(self.shingle, hashes, "left"), np.searchsorted(self.shingle, hashes, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owner[at], minlength=len(self.size))
+        out = []
+        for k in np.flatnonzero(100 * both >= per_cent * (self.size + len(hashes) - both)):
+            a, b = self.find(root), self.find(self.root[k])
+            if a != b:
+                self.up[a] = b
+                out.append(self.sid[k])
+        return out
+
+
+def _meet(config: MinHashConfig):
+    """Streams partitions sorted by group, block and salt, in which a block's indexed sets come before the others."""
+
+    def run(batches):
+        at, block = None, _Block()
+        for batch in batches:
+            data, offsets = K.buffers(batch.column("text"))
+            g, i, j, side, sid, root = (batch.column(c).to_pylist() for c in ("g", "block", "salt", "side", "sid", "root"))
+            out = ([], [])
+            for k, hashes in K.document_shingles(data, offsets, config.width):
+                if at != (g[k], i[k], j[k]):
+                    at, block = (g[k], i[k], j[k]), _Block()
+                if side[k] == 0:
+                    block.add(sid[k], root[k], hashes)
+                    continue
+                for other in block.links(sid[k], root[k], hashes, config.per_cent):
+                    out[0].append(sid[k])
+                    out[1].append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return run
+
+
 def _shingle_rows(config: MinHashConfig):
     def run(batches):
         for batch in batches:
@@ -183,7 +256,7 @@ def grouped(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFra
     rows = tables.write(signed(docs, config))
     # first() of equal sets: the same bands for each
     sets = rows.where("sid is not null").groupBy("sid").agg(F.first("bands").alias("bands"), F.min("th").alias("th"), F.max("n").alias("n"))
-    spread = sets.select("sid", F.explode("bands").alias("band")).repartition("band")
+    spread = sets.select("sid", F.explode("bands").alias("band"))
     leads = spread.groupBy("band").agg(F.min("sid").alias("lead"), F.count("*").alias("size")).where("size > 1")
     members = tables.write(spread.join(leads, "band").select("band", "sid", "lead"))
     about = rows.where("sid is not null").groupBy("sid").agg(F.min("th").alias("th"), F.max("n").alias("n"))
@@ -203,15 +276,14 @@ def grouped(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFra
             central = open_.join(facts, "sid").groupBy("band").agg(F.min(share).alias("c"))
             met = open_.join(facts, "sid").join(central, "band").where("root <> c.root").where(_allowed("n", "u", "c.n", "c.u", config))
             pairs = met.select(F.greatest("sid", F.col("c.sid")).alias("a"), F.least("sid", F.col("c.sid")).alias("b")).distinct()
-            root, tested = _again(tables, pairs, tested, texts, root, config)
+            root = _again(tables, pairs, tested, texts, root, config)
             # sets that can link with nothing need no further look; then most buckets are of one component
             can = facts.where(_allowed("n", "u", "n - u", "0", config))
             left = _open(tables, open_.select("band", "sid").join(can.select("sid"), "sid"), root)
             if left.head(1):
-                x = left.join(facts, "sid")
-                y = x.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "root", "n", "u")))
-                pairs = x.join(y, "band").where("sid > sid2 and root <> root2").where(_allowed("n", "u", "n2", "u2", config)).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-                root, tested = _again(tables, pairs, tested, texts, root, config)
+                links = _blocks(tables, left, facts, texts, config)
+                if links.head(1):
+                    root = components(tables, root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     if root is None:
         found = rows.where("sid is not null").withColumn("root", F.col("sid"))
     else:
@@ -268,10 +340,40 @@ def _allowed(n1: str, u1: str, n2: str, u2: str, config: MinHashConfig):
     return F.expr(f"100 * {most} >= {config.per_cent} * ({n1} + {n2} - {most})")
 
 
-def _again(tables: Tables, pairs: DataFrame, tested: DataFrame, texts: DataFrame, root: DataFrame, config: MinHashConfig):
+def _again(tables: Tables, pairs: DataFrame, tested: DataFrame, texts: DataFrame, root: DataFrame, config: MinHashConfig) -> DataFrame:
     seen = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = tables.write(pairs.join(seen, ["a", "b"], "left_anti"))
     links = _links(tables, pairs, texts, config).select("a", "b")
     if links.head(1):
         root = components(tables, root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    return root, seen.unionByName(pairs)
+    return root
+
+
+def _blocks(tables: Tables, left: DataFrame, facts: DataFrame, texts: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Links (a, b) between components that meet in the open buckets ``left`` (band, sid, root).
+
+    Rows grow with the sets and their buckets, times the number of blocks (or salts) of their group.
+    """
+    major = left.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m"))
+    minor = tables.write(left.join(major.select("band", F.col("m.root").alias("major")), "band").where("root <> major"))
+    g = lambda kind, key: F.xxhash64(F.lit(kind), F.col(key)).alias("g")
+    # against the members of the major component, once for all their buckets
+    own = minor.select(g(0, "major"), "sid", "root").distinct()
+    rest = left.select("sid", "root").distinct().join(minor.select(F.col("major").alias("root")).distinct(), "root", "left_semi")
+    # against each other, in buckets of two minor components at least
+    several = minor.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
+    each = minor.join(several, "band", "left_semi").select(g(1, "band"), "sid", "root")
+    side = lambda df, k: df.select("g", "sid", "root", F.lit(k).alias("side"))
+    rows = side(own.unionByName(each), 0).unionByName(side(rest.select(g(0, "root"), "sid", "root").unionByName(each), 1))
+    rows = tables.write(rows.join(facts.select("sid", "n"), "sid"))
+    size = rows.groupBy("g").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("shingles"), F.count_if(F.col("side") == 1).alias("members"))
+    size = size.select("g", F.ceil(F.col("shingles") / config.block_shingles).cast("int").alias("blocks"), F.ceil(F.col("members") / config.salt_rows).cast("int").alias("salts"))
+    part = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = rows.join(size, "g")
+    blocks = F.when(F.col("side") == 0, F.array(part("blocks", 1))).otherwise(every("blocks"))
+    placed = placed.select("g", "sid", "root", "side", "salts", F.explode(blocks).alias("block"))
+    salts = F.when(F.col("side") == 1, F.array(part("salts", 2))).otherwise(every("salts"))
+    placed = placed.select("g", "sid", "root", "side", "block", F.explode(salts).alias("salt"))
+    met = placed.join(texts, "sid").repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "side")
+    return tables.write(met.select("g", "block", "salt", "side", "sid", "root", "text").mapInArrow(_meet(config), "a long, b long"))

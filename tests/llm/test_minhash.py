@@ -4,7 +4,9 @@ import re
 import duckdb
 import pytest
 
-from corvane.llm.minhash import near_duplicates
+from corvane.llm import minhash
+from corvane.llm._spark import Tables, components
+from corvane.llm.minhash import MinHashConfig, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, kept string"
 
@@ -38,9 +40,9 @@ def brute(rows):
     return sorted(((d, len(s), least.get(find(i)), d == least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, config=MinHashConfig()):
     df = spark.createDataFrame([(d, t, None, "clash") for d, t in rows], SCHEMA)
-    return sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    return sorted((tuple(r) for r in near_duplicates(df, config).collect()), key=str)
 
 
 def test_small_cases(spark):
@@ -64,6 +66,81 @@ def test_chained_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def families(seed, groups, copies, edits):
+    """Near copies whose edits come from few words, so that edited places agree by chance."""
+    rng = random.Random(seed)
+    vocab, few, rows = [f"w{i}" for i in range(900)], ["aa", "bb", "cc"], []
+    for g in range(groups):
+        base = [rng.choice(vocab) for _ in range(rng.randint(40, 120))]
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(0, edits)):
+                words[at] = rng.choice(few)
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("config", [MinHashConfig(), MinHashConfig(salt_rows=7, block_shingles=300)])
+def test_blocks_and_salts(spark, config):
+    """Groups with many sets apart, whole and cut into many blocks and salts."""
+    rows = [*families(3, 5, 60, 9), *((1000 + i, t) for i, t in families(4, 3, 60, 9))]
+    assert run(spark, rows, config) == brute(rows)
+
+
+def test_rows_are_linear_in_a_group(spark, monkeypatch):
+    """Four times the near copies of one group give about four times the rows that meet, not sixteen."""
+    made = []
+    old = minhash._meet
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(config):
+        inner = old(config)
+
+        def run(batches):
+            def tally():
+                for b in batches:
+                    met.add(b.num_rows)
+                    yield b
+
+            yield from inner(tally())
+
+        return run
+
+    monkeypatch.setattr(minhash, "_meet", seen)
+    links = minhash._links
+
+    def pairs(tables, p, texts, config):
+        made[-1] += p.count()
+        return links(tables, p, texts, config)
+
+    monkeypatch.setattr(minhash, "_links", pairs)
+    for copies in (1250, 5000):
+        made.append(0)
+        met.value = 0
+        run(spark, families(9, 1, copies, 10))
+        made[-1] += met.value
+    assert made[1] <= 7 * made[0] and made[1] < 60 * 5000
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(300)] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {x: find(x) for x in list(parent) if any(x in e and e[0] != e[1] for e in edges)}
+    got = components(Tables(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_against_all_pairs(spark, sf):
     path = f"/root/testdata/{sf}/documents.parquet"
