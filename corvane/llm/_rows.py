@@ -28,3 +28,14 @@ def crc(data: bytes) -> int:
 
 def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``taken`` (of any case) has it."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of one Arrow batch where the session does not say otherwise: a worker holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that Python workers hold at a time, unless the session sets its own bound."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Tables:
     """Intermediate tables of one run in the shared folder.
 
@@ -27,15 +39,22 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        small_batches(spark)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        self.forget()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._corvane_path = path
         return out
 
+    def forget(self) -> None:
+        """Lets the driver collect plans that ended, so that executors delete the shuffle files of those."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
