@@ -34,7 +34,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.clips(media.write_media(_table(spark, sf_dir)))
-    return out.withColumn("n_clips", F.size("clips")).drop("clips")
+    return out.withColumn("n_clips", F.size("clips")).drop("clips", "error")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,20 +70,34 @@ QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lines, op4_medi
 
 #: SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    # a private-use character marks where a unit ends: after a stop and white space, or after a newline
     "op3_lines": r"""
-WITH units AS (
-    SELECT doc_id, u.pos, u.unit
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_units FROM documents),
-         LATERAL (SELECT unnest(all_units) AS unit, generate_subscripts(all_units, 1) AS pos) u
+WITH cut AS (
+    SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t]+)', '\1\2' || chr(57344), 'g'), chr(10), chr(10) || chr(57344)), chr(57344)) AS u
+    FROM documents
+), units AS (
+    SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS pos FROM cut
 ), named AS (
-    SELECT *, trim(translate(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS norm
-    FROM units
+    SELECT *, trim(translate(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS norm FROM units
+), sized AS (
+    SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS w FROM named
+), summed AS (
+    SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM sized
+), runs AS (
+    SELECT a.doc_id, a.pos AS lo, b.pos AS hi
+    FROM (SELECT doc_id, pos, upto - w + 20 AS need FROM summed WHERE w > 0) a
+    ASOF JOIN (SELECT doc_id, pos, upto FROM summed WHERE w > 0) b ON a.doc_id = b.doc_id AND a.need <= b.upto
+), texts AS (
+    SELECT r.doc_id, lo, hi, string_agg(norm, ' ' ORDER BY pos) AS run
+    FROM runs r JOIN named n ON n.doc_id = r.doc_id AND n.pos BETWEEN lo AND hi AND norm <> '' GROUP BY ALL
 ), ranked AS (
-    SELECT doc_id, pos, unit, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM named
+    SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS n FROM texts
+), gone AS (
+    SELECT DISTINCT u.doc_id, u.pos FROM ranked r JOIN units u ON u.doc_id = r.doc_id AND u.pos BETWEEN lo AND hi WHERE n > 1
 )
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS chars_removed,
-       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+SELECT u.doc_id, count(*) AS n_units, count(g.pos) AS n_removed,
+       coalesce(sum(length(unit)) FILTER (g.pos IS NOT NULL), 0)::BIGINT AS chars_removed,
+       sha256(coalesce(string_agg(unit, '' ORDER BY u.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id
 """
 }
