@@ -30,18 +30,25 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
+def rounded(v: Column, digits: int = 7) -> Column:
+    """The vector as a search engine takes it over the wire: numbers of ``digits`` decimals."""
+    return F.transform(v, lambda x: F.round(x.cast("double"), digits))
+
+
+def hash_vector(text: str | None, dim: int) -> np.ndarray:
+    """A unit vector drawn with the text's SHA-256 as seed: the first 8 bytes, highest first."""
+    seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")
+    v = np.random.default_rng(seed).standard_normal(dim).astype(np.float32)
+    return v / np.linalg.norm(v)
+
+
 def hash_embed(dim: int = 384):
-    """Pandas UDF: a unit vector drawn with the text's SHA-256 as seed."""
+    """Pandas UDF of :func:`hash_vector`."""
     if dim <= 0:
         raise ValueError("dim must be positive")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> np.ndarray:
-            seed = int.from_bytes(hashlib.sha256((t or "").encode()).digest()[:8], "big")
-            v = np.random.default_rng(seed).standard_normal(dim).astype(np.float32)
-            return v / np.linalg.norm(v)
-
-        return text.map(one)
+        return text.map(lambda t: hash_vector(t, dim))
 
     return embed
