@@ -1,0 +1 @@
+"""Retrieval, chunking, embedding, reranking, merges and batch drivers."""
