@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from corvane.plans import queries as P
 
-HEADLINES = ("hybrid_search", "hybrid_search_batch", "lexical_cover_density_topk", "lexical_bm25_topk", "dense_batch_topk", "chunk_documents", "html_to_text_native", "html_to_text_udf", "postings_df", "ingest_unzip")
+HEADLINES = ("hybrid_search", "hybrid_search_batch", "lexical_cover_density_topk", "lexical_bm25_topk", "dense_topk", "dense_topk_table", "chunk_documents", "html_to_text_native", "html_to_text_udf", "postings_df", "lexeme_df", "ingest_unzip", "ingest_filings", "ask_prompt")
 
 
 def main() -> None:

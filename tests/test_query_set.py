@@ -1,36 +1,29 @@
 import duckdb
 import pytest
 
-from corvane.operators import retrieval
 from corvane.plans import queries as P
-from test_oracle import TABLES, rows
+from test_oracle import connection, rows
 
-NAMES = sorted(n for n in P.ORACLE_SQL if n.endswith("_table"))
+NAMES = ("lexical_and_match", "lexical_cover_density_topk", "lexical_bm25_topk", "dense_topk", "rrf_fusion", "hybrid_search_batch", "asof_leakage_audit", "ask_prompt")
 
 
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
-def test_every_hundredth_row_asks(spark, size):
-    sf = f"/root/testdata/{size}"
+def test_every_hundredth_row_asks(spark):
+    sf = "/root/testdata/sf0.01"
     ids = {x for k, t in (("doc_id", "documents"), ("vec_id", "embeddings")) for x, in duckdb.sql(f"select {k} from '{sf}/{t}.parquet' where {k} % 100 = 0").fetchall()}
     assert {r.qid for r in P.table_asked(spark, sf).collect()} == ids
     vectors = {x for x, in duckdb.sql(f"select vec_id from '{sf}/embeddings.parquet' where vec_id % 100 = 0").fetchall()}
     assert {r.qid for r in P.QUERIES["dense_topk_table"](spark, sf).collect()} == vectors
 
 
-@pytest.mark.parametrize("name", NAMES)
+def test_every_passage_asks(spark, sf):
+    asked = {r.qid: r.query for r in P.asked(spark, sf).collect()}
+    items = {x for x, in duckdb.sql(f"select item_id from '{sf}/benchmark.parquet'").fetchall()}
+    assert set(asked) == items | {-1, -2}
+    assert not {-1, -2} & {r.qid for r in P.QUERIES["hybrid_search_batch"](spark, sf).collect()}
+
+
+@pytest.mark.parametrize("name", [n + kind for n in NAMES for kind in ("", "_table")])
 def test_larger_table_equals_sql(spark, name):
     sf = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want = rows(con.sql(P.ORACLE_SQL[name]).df())
+    want = rows(connection(sf).sql(P.ORACLE_SQL[name]).df())
     assert rows(P.QUERIES[name](spark, sf).toPandas()) == want and want
-
-
-def test_stop_words(spark):
-    """Only the other lexemes must match, at their places with stop-words counted; stop-words alone match nothing."""
-    c = spark.createDataFrame([(1, "outlook for growth"), (2, "the outlook"), (3, "the and")], "chunk_id long, text string").selectExpr("*", "date'2020-01-01' filing_date")
-    q = spark.createDataFrame([(1, "the outlook"), (2, "the and"), (3, "outlook of growth"), (4, " ")], "qid long, query string").selectExpr("*", "date'2021-01-01' as_of")
-    assert sorted((r.qid, r.chunk_id) for r in retrieval.matches(c, q).collect()) == [(1, 1), (1, 2), (3, 1)]
-    assert sorted((r.qid, r.chunk_id, r.score) for r in retrieval.lexical(c, q).collect()) == [(1, 1, 0.1), (1, 2, 0.1), (3, 1, 0.05)]
-    assert sorted({(r.qid, r.chunk_id) for r in retrieval.bm25(c, q).collect()}) == [(1, 1), (1, 2), (3, 1), (3, 2)]  # any lexeme
