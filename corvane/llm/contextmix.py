@@ -1,6 +1,6 @@
 """Language-model scoring by context-tree weighting.
 
-Bytes are split into binary decisions.  Each node of that decision tree has a context tree over the ``DEPTH`` bytes
+A text is its lower-cased bytes and one end symbol, the byte 0xFF that UTF-8 lacks.  Bytes are split into binary decisions.  Each node of that decision tree has a context tree over the ``DEPTH`` bytes
 before; every context keeps a Krichevsky-Trofimov estimate, and all depths are mixed by
 ``Pw = (Pe + product of the children's Pw) / 2``.  After training the counts stand still, and a bit's probability is
 the mixture of all depths' estimates along its context path.
@@ -34,17 +34,70 @@ _HALF = math.log(0.5)
 @dataclass(frozen=True)
 class ScoreConfig:
     #: Text bytes of one bucket of documents, and grams of one partition.
-    bucket_bytes: int = 16 << 20
+    bucket_bytes: int = 12 << 20
     partition_grams: int = 400_000
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The gram that ends at each byte; bytes before a document's first count as 0."""
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = np.zeros(len(data), np.int64)
-    for d in range(DEPTH + 1):
-        out[d:] |= np.where(place[d:] >= d, data[: len(data) - d].astype(np.int64), 0) << (8 * d)
-    return out
+    #: Prices that one task packs at a time.
+    block_rows: int = 1_000_000
+
+
+#: What stands after each text: the end symbol, and zeros that keep texts out of each other's contexts.
+_GAP = b"\xff" + bytes(DEPTH)
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the gram that ends at each byte and end symbol, where each text's begin); bytes before a text count as 0."""
+    raw = data.tobytes()
+    joined = np.frombuffer(_GAP.join([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]) + _GAP, np.uint8)
+    out, n = joined.astype(np.int64), 1
+    while n <= DEPTH:  # grams of n bytes become grams of up to 2n
+        step = min(n, DEPTH + 1 - n)
+        out[step:] |= (out[:-step] & ((1 << (8 * n)) - 1)) >> (8 * (n - step)) << (8 * n) if step < n else out[:-step] << (8 * n)
+        n += step
+    text = np.arange(len(offsets) - 1)
+    mark = np.zeros(len(joined) + 1, np.int8)
+    mark[offsets[:-1] + text * len(_GAP)] = 1
+    mark[offsets[1:] + text * len(_GAP) + 1] = -1
+    return out[np.cumsum(mark[:-1], dtype=np.int8) > 0], np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
+
+
+class Lookup:
+    """Values by key, by open addressing in one array; every key asked for is there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(2, (2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        none = -1  # a number that is no key marks free places
+        while (keys == none).any():
+            none -= 1
+        self.key, self.value = np.full(1 << bits, none, np.int64), np.zeros(1 << bits, values.dtype)
+        at, todo = self._first(keys), np.arange(len(keys))
+        while len(todo):
+            free = np.flatnonzero(self.key[at] == none)
+            self.key[at[free]] = keys[todo[free]]
+            won = self.key[at] == keys[todo]
+            self.value[at[won]] = values[todo[won]]
+            at, todo = (at[~won] + 1) & self.last, todo[~won]
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        out, todo = self.value[at], np.flatnonzero(self.key[at] != keys)
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.last
+            hit = self.key[at] == keys[todo]
+            out[todo[hit]] = self.value[at[hit]]
+            at, todo = at[~hit], todo[~hit]
+        return out
+
+
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each comes."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _log_kt(n: np.ndarray) -> np.ndarray:
@@ -147,34 +200,89 @@ def _documents(table: pa.Table):
         yield i, j, K.LOWER[data[lo:hi]], offsets[i : j + 1] - lo
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def _wanted(table: pa.Table) -> pa.Table:
     """Distinct keys of a bucket with their training counts: kind 0 grams, 1 words, 2 (key 0) ends."""
     learn = table.column("learn").to_numpy()
     parts: dict[int, list] = {0: [], 1: []}
     for i, j, data, offsets in _documents(table):
-        grams = _grams(data, offsets)
-        taught = np.repeat(learn[i:j], np.diff(offsets))
+        grams, begin = _grams(data, offsets)
         words, first = _word_keys(data, offsets)
-        for kind, keys, use in ((0, grams, taught), (1, words, np.repeat(learn[i:j], np.diff(first)))):
-            key, at = np.unique(keys, return_inverse=True)
-            parts[kind].append((key, np.bincount(at, use, len(key)).astype(np.int64)))
-    out = []
+        for kind, keys, size in ((0, grams, np.diff(begin)), (1, words, np.diff(first))):
+            taught = np.repeat(learn[i:j], size)
+            rest = _tally(keys[~taught])[0]
+            parts[kind] += [_tally(keys[taught]), (rest, np.zeros(len(rest), np.int64))]
+            if len(parts[kind]) > 8:  # runs share most keys: few are held at a time
+                parts[kind] = [_merged(parts[kind])]
+    out = [(np.full(1, 2, np.int32), np.zeros(1, np.int64), np.array([int(learn.sum())], np.int64))]
     for kind, found in parts.items():
         if found:
-            key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            out.append((np.full(len(key), kind, np.int32), key, np.bincount(at, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)))
-    out.append((np.full(1, 2, np.int32), np.zeros(1, np.int64), np.array([int(learn.sum())], np.int64)))
+            key, count = _merged(found)
+            out.append((np.full(len(key), kind, np.int32), key, count))
+            parts[kind] = []
     kind, key, count = (np.concatenate(x) for x in zip(*out))
     bucket = np.full(len(key), table.column("bucket")[0].as_py(), np.int32)
     return pa.table({"bucket": bucket, "kind": kind, "key": key, "n": count})
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """A column's bytes, all first bytes first: small numbers leave long runs of zeros, which compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _column(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+PRICES = "bucket int, kind int, keys binary, values binary"
+
+
+def _packed(rows: int):
+    """(bucket, kind, key, value, n) as blocks of one bucket and kind: sorted keys by their steps, and their values."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        bucket, kind, key, value, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("bucket", "kind", "key", "value", "n"))
+        order = np.lexsort([key, kind, bucket])
+        bucket, kind, key, value, n = bucket[order], kind[order], key[order], value[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+        out = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            steps = np.diff(key[a:b].view(np.uint64), prepend=np.uint64(0))
+            out.append((int(bucket[a]), int(kind[a]), _planes(steps), _planes(n[a:b] if kind[a] else value[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "values"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= rows:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFrame:
     """Scores of each row of ``docs`` (doc_id, text), learning from the rows where the column ``learn`` holds.
 
     (doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): ``base_score`` is
-    the add-one unigram of words and ends, ``score`` log10 of the tree's probability of the lower-cased bytes.  Null
-    and empty texts have score 0 and one token, the end.  Repeated rows count each; other columns are ignored.
+    the add-one unigram of words and ends, ``score`` log10 of the tree's probability of the lower-cased bytes and their
+    end.  Null and empty texts have one token, the end.  Repeated rows count each; other columns are ignored.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "contextmix")
@@ -183,8 +291,7 @@ def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFr
     n = max(1, -(-int(total) // config.bucket_bytes))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     wanted = tables.write(rows.groupBy("bucket").applyInArrow(_wanted, "bucket int, kind int, key long, n long"))
-    known = wanted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    known = tables.write(known)
+    known = tables.write(wanted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     sums = {r["kind"]: (r["n"], r["v"]) for r in known.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()}
     tokens = sum(sums.get(k, (0, 0))[0] for k in (1, 2))
     distinct = sum(sums.get(k, (0, 0))[1] for k in (1, 2))
@@ -204,12 +311,12 @@ def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFr
 
     def upward(batches):
         key, c = gathered(batches)
-        if len(key) and (c > 0).any():
-            _, (up, m, below) = climb(key[c > 0], c[c > 0])
+        if len(key):
+            _, (up, m, below) = climb(key, c)
             yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(below)], ["key", "n0", "n1", "below"])
 
     # at most 65,536 contexts of 255 nodes
-    high = placed.mapInArrow(upward, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.round("below", 9).cast("decimal(28,9)")).cast("double").alias("below"))
+    high = placed.where("n > 0").mapInArrow(upward, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.round("below", 9).cast("decimal(28,9)")).cast("double").alias("below"))
     high = high.toArrow()
     order = np.argsort(high["key"].to_numpy())
     column = lambda c: high[c].to_numpy()[order]
@@ -222,29 +329,31 @@ def score(docs: DataFrame, learn, config: ScoreConfig = ScoreConfig()) -> DataFr
             levels = dict(top.value) | (climb(key[taught], c[taught])[0] if taught.any() else {d: Level(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for d in range(TOP + 1, DEPTH + 1)})
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log_probability(key, levels), pa.float32())], ["key", "value"])
 
-    priced = placed.mapInArrow(downward, "key long, value float").select(F.lit(0).alias("kind"), "key", F.col("value").cast("double"))
-    priced = tables.write(priced.unionByName(known.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value"))))
-    here = wanted.where("kind < 2").select("bucket", "kind", "key").join(priced, ["kind", "key"])
+    priced = placed.mapInArrow(downward, "key long, value float").select(F.lit(0).alias("kind"), "key", "value", F.lit(0).cast("long").alias("n"))
+    priced = tables.write(priced.unionByName(known.where("kind = 1").select("kind", "key", F.lit(0).cast("float").alias("value"), "n")))
+    tables.drop(known)
+    here = wanted.where("kind < 2").select("bucket", "kind", "key").join(priced, ["kind", "key"]).select("bucket", "kind", "key", "value", "n")
+    here = tables.write(here.mapInArrow(_packed(config.block_rows), PRICES))
+    tables.drop(wanted, priced)
     out = "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     names = [x.split()[0] for x in out.split(", ")]
 
     def settle(texts: pa.Table, prices: pa.Table) -> pa.Table:
-        kind, key, value = (prices.column(c).to_numpy() for c in ("kind", "key", "value"))
-        by = {}
-        for k in (0, 1):
-            at = np.flatnonzero(kind == k)
-            at = at[np.argsort(key[at])]
-            by[k] = key[at], value[at]
+        blocks = {0: ([np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]), 1: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])}
+        for kind, keys, values in zip(*(prices.column(c).to_pylist() for c in ("kind", "keys", "values"))):
+            blocks[kind][0].append(np.cumsum(_column(keys, np.uint64), dtype=np.uint64))
+            blocks[kind][1].append(_column(values, np.int64 if kind else np.float32))
+        price, count = (Lookup(np.concatenate(blocks[k][0]).view(np.int64), np.concatenate(blocks[k][1])) for k in (0, 1))
         base = math.log10(tokens + distinct + 1) if tokens else 0.0
         found = []
         for i, j, data, offsets in _documents(texts):
-            grams = by[0][1][np.searchsorted(by[0][0], _grams(data, offsets))] if len(data) else np.zeros(0)
-            run = np.concatenate([[0.0], np.cumsum(grams)])
+            grams, begin = _grams(data, offsets)
+            run = np.concatenate([[0.0], np.cumsum(price(grams), dtype=np.float64)])
             words, first = _word_keys(data, offsets)
-            c = by[1][1][np.searchsorted(by[1][0], words)] if len(words) else np.zeros(0)
+            c = count(words)
             logs, seen = np.concatenate([[0.0], np.cumsum(np.log10(c + 1))]), np.concatenate([[0], np.cumsum(c > 0)])
             size, m = np.diff(offsets), np.diff(first) + 1
-            own = run[offsets[1:]] - run[offsets[:-1]]
+            own = run[begin[1:]] - run[begin[:-1]]
             unigram = logs[first[1:]] - logs[first[:-1]] + math.log10(ends + 1) - m * base
             kn = seen[first[1:]] - seen[first[:-1]] + (ends > 0)
             found.append((texts.column("doc_id").slice(i, j - i).to_pylist(), texts.column("learn").slice(i, j - i).to_pylist(), size, m, kn, np.full(j - i, tokens), unigram, own / math.log(10) + 0.0, np.where(size > 0, -own / math.log(2) / np.maximum(size, 1), 0.0)))
