@@ -5,8 +5,10 @@ quantiser of 8 such a block's only coefficient is ``sample - 128``, so baseline
 shows it.  The DC code gives category ``s`` a code of ``10 - s`` bits and the end of block one bit, so every block
 takes 11 bits and frames decode as arrays.
 
-Reading parses the RIFF tree and ``idx1``, takes the tables from the frame's own markers, decodes every intra frame,
-and finds shots where the histogram difference exceeds the running mean by a multiple of the running deviation.
+Reading parses the RIFF tree and ``idx1`` (or the chunks themselves, where a file has no index), takes the tables from
+the frame's own markers, decodes every intra frame, and finds shots where the histogram difference exceeds the running
+mean by a multiple of the running deviation.  Frames of this writer decode as arrays, all other baseline frames by
+:mod:`corvane.llm.jpeg`; a file that holds neither gives a row with its error.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import _rows as R
+from corvane.llm import jpeg
+from corvane.llm._spark import small_batches
 
 COLS, ROWS = 16, 12
 SAMPLES = COLS * ROWS
@@ -110,26 +115,52 @@ def encode(payload: bytes) -> bytes:
     return chunk(b"RIFF", b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", b"movi" + body.tobytes()) + chunk(b"idx1", index.tobytes()))
 
 
+def _inside(avi: bytes, at: int, end: int) -> list[bytes]:
+    """The frames among the chunks of a movi list, in their order."""
+    out = []
+    while at + 8 <= end:
+        name, size = avi[at : at + 4], struct.unpack_from("<I", avi, at + 4)[0]
+        if name == b"LIST":
+            out += _inside(avi, at + 12, min(end, at + 8 + size))
+        elif name[2:] in (b"dc", b"db"):
+            out.append(avi[at + 8 : at + 8 + size])
+        at += 8 + size + (size & 1)
+    return out
+
+
 def frames(avi: bytes) -> list[bytes]:
-    """The frames that ``idx1`` names."""
-    movi, index, at = None, b"", 12
+    """The frames that ``idx1`` names, or all of the movi list if there is no index; empty ones repeat the last."""
+    movi, stop, index, at = None, 0, None, 12
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     while at + 8 <= len(avi):
         size = struct.unpack_from("<I", avi, at + 4)[0]
         if avi[at : at + 4] == b"LIST" and avi[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+            movi, stop = at + 8, at + 8 + size
         elif avi[at : at + 4] == b"idx1":
             index = avi[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     if movi is None:
         raise ValueError("no movi list")
-    return [avi[movi + o + 8 : movi + o + 8 + n] for kind, _, o, n in struct.iter_unpack("<4sIII", index) if kind[2:] in (b"dc", b"db")]
+    if index is None:
+        found = _inside(avi, movi + 4, min(stop, len(avi)))
+    else:
+        named = [(o, n) for kind, _, o, n in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if kind[2:] in (b"dc", b"db")]
+        # offsets count from the list's name or from the file's begin
+        base = 0 if named and named[0][0] >= movi and avi[named[0][0] + 2 : named[0][0] + 4] in (b"dc", b"db") else movi
+        found = [avi[base + o + 8 : base + o + 8 + n] for o, n in named]
+    out: list[bytes] = []
+    for frame in found:
+        if frame or out:
+            out.append(frame or out[-1])
+    return out
 
 
 def _read_header(frame: bytes) -> tuple[int, int, int, np.ndarray]:
     """(where the scan begins, blocks, bits of a block, difference of each unit) from a frame's markers."""
     at, quant, blocks, dc = 2, 0, 0, {}
+    if frame[: len(HEADER)] != HEADER:
+        raise ValueError("frames of another coder")
     while True:
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
@@ -156,24 +187,27 @@ def _read_header(frame: bytes) -> tuple[int, int, int, np.ndarray]:
     return at, blocks, _BITS, value
 
 
-_header_cache: dict[bytes, tuple] = {}
+@lru_cache(maxsize=1)
+def _own() -> tuple[int, int, int, np.ndarray]:
+    return _read_header(HEADER)
 
 
 def decode(avi: bytes) -> np.ndarray:
-    """(frames, samples) of 8-bit samples."""
-    parts = []
-    begin = None
-    for frame in frames(avi):
-        end = frame.index(b"\xff\xda") + 10
-        head = frame[:end]
-        if head not in _header_cache:
-            _header_cache[head] = _read_header(frame)
-        begin, blocks, bits, value = _header_cache[head]
-        parts.append(frame[begin:-2].replace(b"\xff\0", b"\xff"))
-    if not parts:
+    """(frames, samples) of 8-bit samples: those that :func:`encode` stored, else the luminance of each frame's pixels."""
+    found = frames(avi)
+    if not found:
         return np.zeros((0, SAMPLES), np.uint8)
-    scan = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
-    unit = np.unpackbits(scan, axis=1)[:, : blocks * bits].reshape(len(parts), blocks, bits).astype(np.uint16)
+    if any(f[: len(HEADER)] != HEADER for f in found):
+        planes = [jpeg.luminance(f) for f in found]
+        if len({p.shape for p in planes}) > 1:
+            raise ValueError("frames of several sizes")
+        return np.stack([p.ravel() for p in planes])
+    begin, blocks, bits, value = _own()
+    try:
+        scan = np.frombuffer(b"".join(f[begin : f.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff") for f in found), np.uint8).reshape(len(found), -1)
+        unit = np.unpackbits(scan, axis=1)[:, : blocks * bits].reshape(len(found), blocks, bits).astype(np.uint16)
+    except ValueError as e:
+        raise ValueError(f"a broken frame: {e}") from e
     unit = (unit << np.arange(bits - 1, -1, -1, dtype=np.uint16)).sum(axis=2, dtype=np.uint16)
     return (np.cumsum(value[unit], axis=1, dtype=np.int16) + 128).astype(np.uint8)
 
@@ -215,34 +249,52 @@ def payload(text: str) -> tuple[bytes, int]:
 def write_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) of ``docs`` (doc_id, text): each whole text as an AVI file; a null text is empty."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            for k, text in enumerate(R.strings(batch.column("text"))):
-                data, n = payload(text)
-                yield pa.RecordBatch.from_arrays([ids[k : k + 1] if hasattr(ids, "slice") else ids, pa.array([n], pa.int64()), pa.array([encode(data)], pa.binary())], ["doc_id", "n_bytes", "media"])
+            ids, texts, begin, size, out = batch.column("doc_id"), batch.column("text"), 0, 0, []
+            for k in range(batch.num_rows):
+                data, n = payload(texts[k].as_py() or "")
+                out.append((n, encode(data)))
+                size += len(out[-1][1])
+                if size >= 4 << 20 or k + 1 == batch.num_rows:
+                    numbers, files = zip(*out)
+                    yield pa.RecordBatch.from_arrays([ids.slice(begin, len(out)), pa.array(numbers, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+                    begin, size, out = k + 1, 0, []
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def clips(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
-    """One row for each file of ``media`` (doc_id, n_bytes, media): digests, and its clips with their times in ms."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<clip:int,start_ms:long,end_ms:long>>"
+    """One row for each file of ``media`` (doc_id, n_bytes, media): digests, and its clips with their times in ms.
+
+    A null file, or one that can't be read, has its reason in ``error``, its media columns as far as there is a file,
+    and nulls for what would come from its frames.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<clip:int,start_ms:long,end_ms:long>>, error string"
+
+    def read(avi: bytes | None) -> tuple:
+        if avi is None:
+            return None, None, None, None, None, None, None, "no file"
+        stored = len(avi), hashlib.sha256(avi).hexdigest()
+        try:
+            samples = decode(avi)
+        except ValueError as e:
+            return None, None, None, *stored, None, None, str(e)
+        back, found = samples.tobytes(), shots(samples, config)
+        hist = np.bincount(samples.ravel() >> 4, minlength=16)
+        feature = f"{len(samples)};{'.'.join(str(b) for _, b in found)};{'.'.join(map(str, hist.tolist()))}"
+        timed = [{"clip": i, "start_ms": a * 1000 // FPS, "end_ms": b * 1000 // FPS} for i, (a, b) in enumerate(found)]
+        return len(back), hashlib.sha256(back).hexdigest(), R.crc(back[-16:]), *stored, feature, timed, None
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc_id, n, avi in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                samples = decode(avi)
-                back = samples.tobytes()
-                found = shots(samples, config)
-                hist = np.bincount(samples.ravel() >> 4, minlength=16)
-                feature = f"{len(samples)};{'.'.join(str(b) for _, b in found)};{'.'.join(map(str, hist.tolist()))}"
-                timed = [{"clip": i, "start_ms": a * 1000 // FPS, "end_ms": b * 1000 // FPS} for i, (a, b) in enumerate(found)]
-                out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), R.crc(back[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature, timed))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+            files = batch.column("media")
+            out = [(doc_id, n, *read(files[k].as_py())) for k, (doc_id, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes"))))]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])), pa.string()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return media.mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
