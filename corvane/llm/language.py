@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm import _kernels as K
 from corvane.llm import _rows as R
+from corvane.llm._spark import small_batches
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
     orders: tuple[int, ...] = (1, 2, 3, 4)
     bits: int = 15
-    #: Labelled rows that one language's model is fitted on, at most.
+    #: Labelled rows (of different id or text) that one language's model is fitted on, at most.
     sample_rows: int = 1000
     steps: int = 12
 
@@ -80,8 +81,11 @@ class LanguageModel:
 def fit(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """The model of ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing."""
     known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    small_batches(labelled.sparkSession)
     by = Window.partitionBy("lang").orderBy("h")
-    sample = known.withColumn("n", F.row_number().over(by)).where(F.col("n") <= config.sample_rows).select("lang", "text")
+    # the sample is chosen without its texts: at most sample_rows numbers for each language, so that it can be broadcast
+    chosen = known.select("lang", "h").withColumn("n", F.row_number().over(by)).where(F.col("n") <= config.sample_rows).select("lang", "h").distinct()
+    sample = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
     size = 1 << config.bits
 
     def count(batches):
@@ -109,6 +113,7 @@ def identify(docs: DataFrame, model: LanguageModel, config: LanguageConfig = Lan
     ``und``, score 0: the text is null or has no letter, or no language was learned.  All columns are kept; columns
     of these three names are replaced.  Texts count whole, ties go to the first language by name.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "langs")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, of fixed size
 
