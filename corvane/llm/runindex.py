@@ -19,7 +19,8 @@ def suffix_ranks(text: np.ndarray, alive: np.ndarray, depths: tuple[int, ...] =
     for k in range(8):
         key |= np.where(alive >= k, wide[k : k + n], np.uint64(0)) << np.uint64(8 * (7 - k))
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    most, h, kept = int(alive.max(initial=0)) + 1, 8, {}
+    most, h = int(alive.max(initial=0)) + 1, 8
+    kept = {d: np.unique(key >> np.uint64(8 * (8 - d)), return_inverse=True)[1].astype(np.int64) for d in depths if 0 < d < 8}
 
     def pair(first: np.ndarray, ahead: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
@@ -112,7 +113,7 @@ class RunLengthIndex:
         joined = np.frombuffer(b"".join(patterns), np.uint8) + np.uint8(1)
         row = np.zeros(len(patterns), np.int64) if own is None else np.asarray(own, np.int64).copy()
         length = np.zeros(len(patterns), np.int64)
-        at = np.zeros(len(patterns), np.int64) if own is None else self.ends[row].copy()
+        at = self.ends[row].copy()  # row k is the suffix of the k-th end symbol
         active = len(order)
         for step in range(int(size.max(initial=0))):
             while active and size[order[active - 1]] <= step:
