@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 #: The white space of the word contract, and A-Z to a-z.
 _WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

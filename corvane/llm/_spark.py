@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.  Where none is named, a temporary one of this machine if the master
+    runs in this process (as in tests); a cluster must name one that all its machines see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -58,6 +63,8 @@ class Tables:
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
+            if not hasattr(table, "_corvane_path"):
+                continue
             path = jvm.org.apache.hadoop.fs.Path(table._corvane_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -201,12 +201,21 @@ def _meet(config: MinHashConfig):
 
 
 def _shingle_rows(config: MinHashConfig):
+    names = ["h", "sid"]
+
     def run(batches):
         for batch in batches:
             data, offsets = K.buffers(batch.column("text"))
             sid = batch.column("sid").to_numpy()
+            found, size = [], 0
             for k, hashes in K.document_shingles(data, offsets, config.width):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(np.full(len(hashes), sid[k]))], ["h", "sid"])
+                found.append((hashes.view(np.int64), np.full(len(hashes), sid[k])))
+                size += len(hashes)
+                if size >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+                    found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
 
     return run
 
