@@ -159,6 +159,7 @@ def test_later_rows_change_no_score(spark):
     later = [*rows, (3, "2024-07-01", "revenue revenue cloud " * 50)]
     for f in (retrieval.bm25, retrieval.lexical):
         assert f(corpus(spark, rows), q).collect() == f(corpus(spark, later), q).collect()
+    assert retrieval.bm25(corpus(spark, rows), ask_for(spark, ("cloud", "2020-01-01"), ("cloud", None))).collect() == []
 
 
 def covers(places, m):
