@@ -566,6 +566,15 @@ def test_a_text_of_six_languages():
     assert np.allclose(share, 1 / 6, atol=0.01)
 
 
+def test_reputation_without_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (None, None), (1, "http://a.b/x")], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = reputation.judge(pages, labels).collect()
+    assert len(out) == 3 and {r.verdict for r in out} == {"allow"} and all(r.bound is None for r in out)
+    assert reputation.judge(pages.where("false"), labels).collect() == []
+    assert reputation.judge(pages.withColumns({c: F.lit(c) for c in ("host", "path", "domain", "suffix", "salt", "bound", "rule")}), labels).count() == 3
+
+
 @pytest.mark.parametrize("f", [lambda d: packing.pack(d, packing.PackingConfig(Q.tokenizer_path())), lambda d: mixing.mix(d)[0], lambda d: media.clips(media.write_media(d)), lambda d: language.identify(d, language.fit(d)), lambda d: contextmix.score(d, F.lit(True)), repeats.remove_repeats, fingerprints.edit_check])
 def test_empty_tables(spark, f):
     assert f(table(spark, [])).collect() == []
