@@ -38,19 +38,21 @@ def small_batches(spark: SparkSession) -> None:
 class Tables:
     """Intermediate tables of one run in the shared folder.
 
-    A written table cuts lineage and survives lost executors.  ``drop`` removes a table once nothing reads it.
+    A written table cuts lineage and survives lost executors.  ``drop`` removes a table once nothing reads it.  With
+    ``tidy``, each write also frees the shuffle files of what ended: for operators of a few large steps.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = True):
         self.spark, self.root = spark, f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.tidy = 0, tidy
         small_batches(spark)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        self.forget()
+        if self.tidy:
+            self.forget()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._corvane_path = path
         return out

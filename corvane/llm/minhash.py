@@ -260,7 +260,7 @@ def grouped(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFra
     """(doc_id, th, n, root, component_id) for each row of ``docs``; th is the text's hash, root names the component
     and is null for an empty set.
     """
-    tables = Tables(docs.sparkSession, "minhash")
+    tables = Tables(docs.sparkSession, "minhash", tidy=False)
     docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     rows = tables.write(signed(docs, config))
     # first() of equal sets: the same bands for each
