@@ -53,9 +53,11 @@ def filings(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 150).alias("company_id"), F.concat(F.lit("A-"), F.col("doc_id")).alias("accession_number"), F.expr("CASE doc_id % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' ELSE '8-K' END").alias("form"), F.expr(_DATE.format("doc_id")).alias("filing_date"))
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row of documents and embeddings as a chunk, joined and dated by id; its filing has the same number."""
+def chunks(spark: SparkSession, sf: str, every: int = 1) -> DataFrame:
+    """Rows of documents and embeddings with an id divisible by ``every`` as chunks, joined and dated by id; a filing has its chunk's number."""
     docs, vectors = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    if every > 1:  # before the join, which no filter on its result passes
+        docs, vectors = docs.where(F.col("doc_id") % every == 0), vectors.where(F.col("vec_id") % every == 0)
     rows = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "full").withColumn("chunk_id", F.coalesce("doc_id", "vec_id"))
     return rows.select("chunk_id", F.col("chunk_id").alias("filing_id"), F.expr(_DATE.format("chunk_id")).alias("filing_date"), F.expr(_SECTION).alias("section"), "text", "embedding")
 
@@ -73,7 +75,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 def table_asked(spark: SparkSession, sf: str) -> DataFrame:
     """The query set that grows with the tables: every chunk whose id is divisible by 100, by its first three tokens and vector."""
     first = F.array_join(F.slice(X.tokens(F.coalesce("text", F.lit(""))), 1, 3), " ")
-    return chunks(spark, sf).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), first.alias("query"), F.col("filing_date").alias("as_of"), F.col("embedding").alias("vector"))
+    return chunks(spark, sf, 100).select(F.col("chunk_id").alias("qid"), first.alias("query"), F.col("filing_date").alias("as_of"), F.col("embedding").alias("vector"))
 
 
 _CHUNKS = f"""WITH chunks AS (SELECT *, chunk_id AS filing_id, DATE '2020-01-01' + CAST(chunk_id % 1461 AS INTEGER) AS filing_date, {_SECTION} AS section
@@ -170,7 +172,7 @@ def word_stems(spark, sf):
 
 @search("SELECT qid, chunk_id, count(*) AS n_hits FROM hit GROUP BY 1, 2")
 def lexical_and_match(spark, sf, c, q):
-    return retrieval.matches(c, q).select("qid", "chunk_id", F.size("hits").cast("long").alias("n_hits"))
+    return retrieval.matches(c, q).select("qid", "chunk_id", "n_hits")
 
 
 @search("SELECT qid, chunk_id, score, rank FROM lex")
