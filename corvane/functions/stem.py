@@ -2,11 +2,13 @@
 
 Each stage adds one column to a table of distinct words, so that no expression is repeated inside another.  The rules
 are the published ones of the Snowball English stemmer; words here have letters and digits only, so its step for
-apostrophes falls away.
+apostrophes falls away.  ``stem`` runs the same stages inside a task that meets the words there.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,74 @@ def stemmed(words: DataFrame) -> DataFrame:
     return out.select("w", F.explode(F.array("lexeme")).alias("lexeme"))
 
 
+_REGION_RE, _SHORT_RE, _VOWEL_RE = re.compile(_REGION), re.compile(_SHORT), re.compile("[aeiouy]")
+_PLURAL_RE, _DOUBLE_RE, _FINAL_Y_RE = re.compile("[aeiouy].+s$"), re.compile("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), re.compile(".[^aeiouy][yY]$")
+_RULES = [(tuple(x[0] for x in rules), [(ending, other, before == "in R2", re.compile(before if before != "in R2" else "")) for ending, other, before in rules])
+          for rules in (STEP_2, STEP_3, [(x, "", "[st]$" if x == "ion" else "") for x in STEP_4])]
+
+
+def _replaced(w: str, step: int, region: int, r2: int) -> str:
+    endings, rules = _RULES[step]
+    if not w.endswith(endings):
+        return w
+    for ending, other, in_r2, before in rules:
+        if w.endswith(ending):
+            rest = w[: -len(ending)]
+            return rest + other if len(rest) >= (r2 if in_r2 else region) and before.search(rest) else w
+
+
+def stem(w: str) -> str:
+    """The lexeme of one word: :func:`stages`, column by column."""
+    if len(w) <= 2 or w in KEPT:
+        return w
+    if w in OWN:
+        return OWN[w]
+    a = w
+    if "y" in a:
+        a = "Y" + a[1:] if a[0] == "y" else a
+        for vowel in "aeiouy":
+            a = a.replace(vowel + "y", vowel + "Y")
+    if a.startswith(("gener", "arsen")):
+        r1 = 5
+    elif a.startswith("commun"):
+        r1 = 6
+    else:
+        found = _REGION_RE.match(a)
+        r1 = found.end() if found else len(a)
+    found = _REGION_RE.match(a[r1:])
+    r2 = r1 + found.end() if found else len(a)
+    b = a
+    if a.endswith("sses"):
+        b = a[:-2]
+    elif a.endswith(("ied", "ies")):
+        b = a[:-2] if len(a) > 4 else a[:-1]
+    elif a.endswith("s") and not a.endswith(("us", "ss")) and _PLURAL_RE.search(a):
+        b = a[:-1]
+    if b in KEPT_LATER:
+        return b
+    c = b
+    if b.endswith("eedly"):
+        c = b[:-3] if len(b) - 5 >= r1 else b
+    elif b.endswith("eed"):
+        c = b[:-1] if len(b) - 3 >= r1 else b
+    else:
+        cut = next((len(x) for x in ("ingly", "edly", "ing", "ed") if b.endswith(x)), 0)
+        c0 = b[:-cut] if cut else ""
+        if _VOWEL_RE.search(c0):
+            if c0.endswith(("at", "bl", "iz")):
+                c = c0 + "e"
+            elif _DOUBLE_RE.search(c0):
+                c = c0[:-1]
+            else:
+                c = c0 + "e" if r1 >= len(c0) and _SHORT_RE.search(c0) else c0
+    d = c[:-1] + "i" if c.endswith(("y", "Y")) and _FINAL_Y_RE.search(c) else c
+    g = _replaced(_replaced(_replaced(d, 0, r1, r2), 1, r1, r2), 2, r2, r2)
+    n = len(g) - 1
+    if g.endswith("e") and (n >= r2 or n >= r1 and not _SHORT_RE.search(g[:-1])) or g.endswith("ll") and n >= r2:
+        g = g[:-1]
+    return g.replace("Y", "y")
+
+
 def ctes(source: str, name: str) -> str:
     """The same as common table expressions for DuckDB: ``name`` (w, lexeme) of the table ``source`` (w)."""
     found = stages(lambda text, pattern: f"regexp_matches({text}, '{pattern}')")

@@ -1,43 +1,62 @@
 """AND matches and their cover density over Arrow batches of chunks, for a block of queries at a time.
 
-A block holds its queries' distinct sets of lexemes and the tokens that stand for these.  A task tokenises its chunks
-once and meets all sets in numpy: which chunks hold all lexemes of a set, how often, and in which minimal covers.
+A block holds its queries' distinct sets of lexemes.  A task tokenises its chunks once, stems the words that it has not
+met yet, and meets all sets in numpy: which chunks hold all lexemes of a set, how often, and in which minimal covers.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-TOKEN = re.compile("[a-z0-9]+")
+from corvane.functions import stem
+
+#: Byte by byte, what is no part of a token becomes a blank.
+_BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 #: Distinct tokens, cells of a chunk-by-set table, hits in covers, and scored pairs that a task holds at a time.
 TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 20, 1 << 20
 #: Most chunks of one table.
 CHUNKS = 256
 
 
+def tokens(text: str) -> list[str]:
+    """The same as ``functions.text.tokens``: runs of ``[a-z0-9]`` in the lower-case text."""
+    return text.lower().encode().translate(_BLANKED).decode("ascii").split()
+
+
 def distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct tokens of a task's texts (column text); a token comes again where there are very many."""
     seen: set[str] = set()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                seen.update(TOKEN.findall(text.lower()))
+                seen.update(tokens(text))
             if len(seen) >= TOKENS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
                 seen = set()
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
 
 
+class _Met(dict):
+    """The codes of the tokens that a task has met; a new one is stemmed."""
+
+    def __init__(self, block: Block):
+        super().__init__()
+        self.stop, self.lexemes = block.stop, block.lexemes
+
+    def __missing__(self, token: str) -> int:
+        code = self[token] = -1 if token in self.stop else self.lexemes.get(stem.stem(token), -1)
+        return code
+
+
 class Block:
     """Queries (qid, day, lexemes) by their sets of lexemes."""
 
-    def __init__(self, rows: list[tuple[int, int, tuple[str, ...]]]):
+    def __init__(self, rows: list[tuple[int, int, tuple[str, ...]]], stop: tuple[str, ...] = ()):
+        self.stop = frozenset(stop)
         self.lexemes = {x: i for i, x in enumerate(sorted({x for _, _, t in rows for x in t}))}
         rows = sorted(rows, key=lambda r: r[2])
         sets = sorted({t for _, _, t in rows})
@@ -49,7 +68,13 @@ class Block:
         self.latest = np.maximum.reduceat(self.day, self.first)
         wide = int(self.m.max())
         self.members = np.array([[self.lexemes[t[min(j, len(t) - 1)]] for j in range(wide)] for t in sets], np.int64)
-        self.codes: dict[str, int] = {}
+        self.met: dict[str, int] | None = None
+
+    def coded(self, text: str) -> list[int]:
+        """The codes of a text's tokens, in order; -1 for those that stand for no lexeme here."""
+        if self.met is None or len(self.met) >= TOKENS:
+            self.met = _Met(self)
+        return list(map(self.met.__getitem__, tokens(text)))
 
     def chunks_at_once(self) -> int:
         return max(1, min(CHUNKS, CELLS // max(len(self.qid), len(self.lexemes))))
@@ -77,9 +102,9 @@ class _Table:
 
     def __init__(self, block: Block, texts: list[str | None], days: np.ndarray):
         self.block, self.n = block, len(texts)
-        known, sizes, flat = block.codes.get, [], []
+        sizes, flat = [], []
         for text in texts:
-            found = list(map(known, TOKEN.findall(text.lower()), repeat(-1))) if text else []
+            found = block.coded(text) if text else []
             sizes.append(len(found))
             flat += found
         code, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
@@ -127,8 +152,15 @@ class _Table:
             row, place = _spread(self.start[cells], self.tally[cells])
             parts.append((some[row], self.pos[place], np.full(len(row), j)))
         pair, pos, k = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort([pos, pair])
-        pair, pos, k = pair[order], pos[order], k[order]
+        wide, high = int(k.max()) + 1, int(pos.max()) + 1
+        if len(rows) * high * wide < 1 << 62:  # sorting one number is much faster than two
+            key = (pair * high + pos) * wide + k
+            key.sort()
+            key, k = np.divmod(key, wide)
+            pair, pos = np.divmod(key, high)
+        else:
+            order = np.lexsort([pos, pair])
+            pair, pos, k = pair[order], pos[order], k[order]
         i = np.arange(len(pair))
         begin = np.searchsorted(pair, pair)  # of the pair's own hits
         low = i.copy()

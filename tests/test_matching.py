@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from corvane.functions import stem
 from corvane.operators import matching, retrieval
 from corvane.plans import queries as P
 from test_core import ask_for, corpus, covers
@@ -78,3 +79,32 @@ def test_search_and_fetching_share_texts(spark, sf):
     """No filter on texts sets the search's join of documents apart from the one that fetches the hits' texts."""
     plan = retrieval.lexical(P.chunks(spark, sf), P.table_asked(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join FullOuter" in plan and "isnotnull(text" not in plan
+
+
+def test_words_are_stemmed_where_they_are_met(spark, sf):
+    """The stemmer inside tasks agrees with the staged SQL, and a search plans without a pass over the chunks' words."""
+    ends = ["", "s", "es", "sses", "ies", "ied", "y", "e", "ed", "ing", "ingly", "edly", "eed", "eedly", "ll", "bbing", "ating", "bled", "izing", "bly", "bility", "ogy"]
+    ends += [e for e, _, _ in stem.STEP_2 + stem.STEP_3] + list(stem.STEP_4) + [e[:-1] + "y" for e, _, _ in stem.STEP_2 + stem.STEP_3 if e.endswith("i")]
+    heads = ["", "b", "y", "a", "at", "hop", "sky", "try", "say", "yell", "gener", "commun", "arsen", "relat", "luxuri", "mult", "xyz", "7b", "sensi", "conflat"]
+    words = {h + e + x for h in heads for e in ends for x in ("", "s", "ing", "ed", "ly", "ness", "y")} | set(stem.OWN) | set(stem.KEPT) | {w + "s" for w in stem.KEPT_LATER} | set(stem.KEPT_LATER)
+    made = spark.createDataFrame([(w,) for w in words if w], "w string")
+    texts = P._t(spark, sf, "documents").select("text").mapInArrow(matching.distinct_tokens, "w string").distinct()
+    found = stem.stemmed(made.unionByName(texts)).collect()
+    assert len(found) > 8000 and [(r.w, r.lexeme, stem.stem(r.w)) for r in found if r.lexeme != stem.stem(r.w)] == []
+
+
+    def failing(batches):
+        raise ValueError("read a chunk")
+
+    c = corpus(spark, [(1, "2024-01-01", "Supplies supplied the unrelated zebras"), (2, "2024-01-01", "dying suppl")]).mapInArrow(failing, "chunk_id long, filing_date date, text string")
+    q = ask_for(spark, ("the supply", "2024-06-30"), ("die", "2024-06-30"))
+    out = retrieval.matches(c, q)  # planned without reading a chunk
+    with pytest.raises(Exception, match="read a chunk"):
+        out.collect()
+
+
+def test_few_words_are_held(monkeypatch):
+    monkeypatch.setattr(matching, "TOKENS", 2)
+    block = matching.Block([(1, 5, ("chain", "suppli"))], ("the",))
+    assert [block.coded(t) for t in ("The chains, the supply!", "supplied chain", "no chained the", "")] == [[-1, 0, -1, 1], [1, 0], [-1, 0, -1], []]
+    assert len(block.met) <= 5
