@@ -159,6 +159,47 @@ def stem(w: str) -> str:
     return g.replace("Y", "y")
 
 
+def _cut_parts() -> list[list[str]]:
+    """What each stage can cut from a word's own letters, the last stage first.
+
+    A part is an ending without the letters that its replacement begins with; the letters that an earlier stage has put
+    at its end (see :func:`heads`) are not the word's own.
+    """
+    groups = [["e", "l"]]
+    for rules in (((x, "", "") for x in STEP_4), STEP_3, STEP_2):
+        parts = set()
+        for ending, other, _ in rules:
+            same = next((i for i, (x, y) in enumerate(zip(ending, other)) if x != y), len(other))
+            parts |= {ending[same : len(ending) - len(put)] for put in ("", "e", "i", "le") if ending.endswith(put)}
+        groups.append(sorted(parts))
+    ends = ["ed", "ing", "edly", "ingly"]
+    return [*groups, ["y"], [x + y for x in ("", *"bdfgmnprt") for y in ends] + ["d", "dly"], ["es", "ed", "s", "d"]]
+
+
+#: The first and the last three letters of what they cut together, or all of it.
+CUT_STARTS, CUT_ENDS = {""}, {""}
+for _parts in _cut_parts():
+    CUT_STARTS |= {(x + y)[:3] for x in CUT_STARTS for y in _parts}
+for _parts in reversed(_cut_parts()):
+    CUT_ENDS |= {(y + x)[-3:] for x in CUT_ENDS for y in _parts}
+
+
+def heads(lexeme: str) -> set[str]:
+    """Beginnings of which any word of this lexeme has one, but for the words in OWN; what follows it
+    begins and ends as in CUT_STARTS and CUT_ENDS.
+
+    Stages cut endings, and what they put in place of one adds at most an ``e``, an ``i`` or, after a ``b``, ``le`` (whose
+    ``e`` can go again) to what the word had there itself; only words of three letters or more change so.
+    """
+    out = {lexeme}
+    if len(lexeme) > 2:
+        if lexeme.endswith(("e", "i", "bl")):
+            out.add(lexeme[:-1])
+        if lexeme.endswith("ble") and len(lexeme) > 3:
+            out.add(lexeme[:-2])
+    return out
+
+
 def ctes(source: str, name: str) -> str:
     """The same as common table expressions for DuckDB: ``name`` (w, lexeme) of the table ``source`` (w)."""
     found = stages(lambda text, pattern: f"regexp_matches({text}, '{pattern}')")

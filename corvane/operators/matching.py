@@ -11,15 +11,16 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corvane.functions import stem
 
 #: Byte by byte, what is no part of a token becomes a blank.
 _BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 #: Distinct tokens, cells of a chunk-by-set table, hits in covers, and scored pairs that a task holds at a time.
-TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 20, 1 << 20
-#: Most chunks of one table.
-CHUNKS = 256
+TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 20, 1 << 17
+#: Most chunks of one table, and bytes of text after which no other chunk is tokenised with these.
+CHUNKS, TEXT = 128, 1 << 20
 
 
 def tokens(text: str) -> list[str]:
@@ -52,6 +53,60 @@ class _Met(dict):
         return code
 
 
+#: Letters and digits from 1; and three of them as one number, 0 where there is none.
+_NUMBER = np.zeros(256, np.int64)
+_NUMBER[[c for c in range(256) if _BLANKED[c] != 32]] = np.arange(1, 37)
+
+
+def _three(words) -> np.ndarray:
+    """By the number of three letters, whether ``words`` of at most three have them."""
+    out = np.zeros(37**3, bool)
+    for w in words:
+        a, b, c = (int(_NUMBER[ord(x)]) for x in w) if len(w) == 3 else ([int(_NUMBER[ord(x)]) for x in w] + [0, 0, 0])[:3]
+        out[(a * 37 + b) * 37 + c] = True
+    return out
+
+
+_STARTS, _ENDS = _three(stem.CUT_STARTS), _three(stem.CUT_ENDS)
+_FACTOR, _SPREAD, _BITS = 1_000_003, np.uint64(0x9E3779B97F4A7C15), 20
+
+
+def _slots(number: np.ndarray) -> np.ndarray:
+    return (number.astype(np.uint64) * _SPREAD) >> np.uint64(64 - _BITS)
+
+
+class _Sieve:
+    """Leaves out words that no lexeme can come of, by their beginnings (``stem.heads``), which are hashed, and their ends."""
+
+    def __init__(self, lexemes):
+        heads = {h for x in lexemes for h in stem.heads(x)} | set(stem.OWN)
+        self.longest = max(map(len, heads))
+        number = np.zeros(len(heads), np.int64)
+        for i, h in enumerate(heads):
+            n = 0
+            for x in h:
+                n = (n * _FACTOR + int(_NUMBER[ord(x)])) & (1 << 63) - 1
+            number[i] = n
+        self.held = np.zeros(1 << _BITS, bool)
+        self.held[_slots(number)] = True
+
+    def passed(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The places of the words that pass, among those that begin at ``start``."""
+        x = np.concatenate([_NUMBER[letters], np.zeros(3, np.int64)])
+        out, last = np.zeros(len(start), bool), start + size
+        tail = (x[last - 3] * 37 + x[last - 2]) * 37 + x[last - 1]  # of no use, and not used, where a word is shorter
+        alive, number = np.arange(len(start)), np.zeros(len(start), np.int64)
+        for k in range(1, self.longest + 1):
+            more = size[alive] >= k
+            alive, number = alive[more], number[more]
+            number = (number * _FACTOR + x[start[alive] + k - 1]) & (1 << 63) - 1
+            some = alive[self.held[_slots(number)]]
+            at, rest = start[some] + k, size[some] - k
+            a, b, c = (np.where(rest > j, x[at + j], 0) for j in range(3))
+            out[some[_STARTS[(a * 37 + b) * 37 + c] & ((rest < 3) | _ENDS[tail[some]])]] = True
+        return np.flatnonzero(out)
+
+
 class Block:
     """Queries (qid, day, lexemes) by their sets of lexemes."""
 
@@ -68,13 +123,32 @@ class Block:
         self.latest = np.maximum.reduceat(self.day, self.first)
         wide = int(self.m.max())
         self.members = np.array([[self.lexemes[t[min(j, len(t) - 1)]] for j in range(wide)] for t in sets], np.int64)
+        self.sieve = _Sieve(self.lexemes)
         self.met: dict[str, int] | None = None
 
     def coded(self, text: str) -> list[int]:
         """The codes of a text's tokens, in order; -1 for those that stand for no lexeme here."""
+        return self.encoded([text])[0].tolist()
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, sizes): those of all texts' tokens, and how many tokens each text has.  Each distinct token is met once."""
         if self.met is None or len(self.met) >= TOKENS:
             self.met = _Met(self)
-        return list(map(self.met.__getitem__, tokens(text)))
+        raw = [text.lower().encode().translate(_BLANKED) if text else b"" for text in texts]
+        flat = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        held = flat != 32
+        edges = np.flatnonzero(held[1:] != held[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        sizes = np.diff(np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])))
+        offsets = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=offsets[1:])
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(flat[held])).dictionary_encode()
+        met = np.full(len(words.dictionary), -1)
+        _, offsets, letters = words.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(met) + 1)
+        places = self.sieve.passed(np.frombuffer(letters, np.uint8, offsets[-1]), offsets[:-1], np.diff(offsets)) if len(met) else []
+        met[places] = np.fromiter(map(self.met.__getitem__, words.dictionary.take(pa.array(places, pa.int64())).to_numpy(zero_copy_only=False)), np.int64, len(places))
+        return met[words.indices.to_numpy()], sizes
 
     def chunks_at_once(self) -> int:
         return max(1, min(CHUNKS, CELLS // max(len(self.qid), len(self.lexemes))))
@@ -100,14 +174,8 @@ def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Table:
     """The places of a block's lexemes in a few chunks."""
 
-    def __init__(self, block: Block, texts: list[str | None], days: np.ndarray):
-        self.block, self.n = block, len(texts)
-        sizes, flat = [], []
-        for text in texts:
-            found = block.coded(text) if text else []
-            sizes.append(len(found))
-            flat += found
-        code, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
+    def __init__(self, block: Block, code: np.ndarray, sizes: np.ndarray, days: np.ndarray):
+        self.block, self.n = block, len(sizes)
         chunk, pos = _spread(np.ones(self.n, np.int64), sizes)
         held = code >= 0
         key, pos = (code * self.n + chunk)[held], pos[held]
@@ -130,6 +198,20 @@ class _Table:
             out[rows] += self.tally[self.cells(rows, j)]
         return out
 
+    def keep(self, least: np.ndarray) -> None:
+        """Leaves out the pairs that cannot have their set's least score.
+
+        A cover gives 0.1 at most.  Each ends at another hit, after m - 1 at least; each holds a place of the rarest lexeme,
+        and one place is in m minimal covers at most, as a later cover has one lexeme more behind it.
+        """
+        m = self.block.m[self.set]
+        fewest = self.tally[self.cells(slice(None), 0)]
+        for j in range(1, self.block.members.shape[1]):
+            fewest = np.minimum(fewest, self.tally[self.cells(slice(None), j)])
+        most = 0.1 * np.minimum(m * fewest, self.hits() - m + 1)
+        rows = np.flatnonzero(most + 2e-6 >= least[self.set])
+        self.set, self.chunk = self.set[rows], self.chunk[rows]
+
     def density(self) -> np.ndarray:
         """Sum over the minimal covers of ``0.1 / (1 + noise)``, in their order."""
         m, hits = self.block.m[self.set], self.hits()
@@ -162,7 +244,7 @@ class _Table:
             order = np.lexsort([pos, pair])
             pair, pos, k = pair[order], pos[order], k[order]
         i = np.arange(len(pair))
-        begin = np.searchsorted(pair, pair)  # of the pair's own hits
+        begin = np.maximum.accumulate(np.where(np.diff(pair, prepend=-1) > 0, i, 0))  # of the pair's own hits
         low = i.copy()
         for j in range(int(m.max())):
             last = np.maximum.accumulate(np.where(k == j, i, -1))
@@ -173,14 +255,25 @@ class _Table:
         return np.bincount(pair[e], weights=0.1 / (1 + pos[e] - pos[s] - (e - s)), minlength=len(rows))
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about TEXT bytes of text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXT
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _tables(block: Block, batches: Iterator[pa.RecordBatch]):
     """(table, chunk ids, days) of a few chunks at a time."""
     n = block.chunks_at_once()
     for batch in batches:
-        for at in range(0, batch.num_rows, n):
-            part = batch.slice(at, n)
-            days = part.column("day").to_numpy()
-            yield _Table(block, part.column("text").to_pylist(), days), part.column("chunk_id").to_numpy(), days
+        for part in _together(batch):
+            code, sizes = block.encoded(part.column("text").to_pylist())
+            end = np.cumsum(sizes)
+            ids, days = part.column("chunk_id").to_numpy(), part.column("day").to_numpy()
+            for at in range(0, part.num_rows, n):
+                some = slice(at, at + n)
+                yield _Table(block, code[end[at] - sizes[at] : end[some][-1]], sizes[some], days[some]), ids[some], days[some]
 
 
 def _queries(block: Block, table: _Table, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +315,7 @@ def ranked(shared, limit: int) -> Callable:
             return q[top], ids[top], score[top]
 
         for table, ids, days in _tables(block, batches):
+            table.keep(np.minimum.reduceat(least, block.first))
             score = rounded(table.density())
             pair, q = _queries(block, table, days)
             good = score[pair] >= least[q]

@@ -108,3 +108,47 @@ def test_few_words_are_held(monkeypatch):
     block = matching.Block([(1, 5, ("chain", "suppli"))], ("the",))
     assert [block.coded(t) for t in ("The chains, the supply!", "supplied chain", "no chained the", "")] == [[-1, 0, -1, 1], [1, 0], [-1, 0, -1], []]
     assert len(block.met) <= 5
+
+
+def test_only_words_that_can_fit_are_stemmed(spark, sf, monkeypatch):
+    """The sieve of beginnings and endings passes all words of a block's lexemes, and few others are stemmed."""
+    ends = ["", "s", "es", "sses", "ies", "y", "e", "ed", "ing", "edly", "eed", "ll", "bbing", "ating", "bled", "bly", "bility"] + [e for e, _, _ in stem.STEP_2 + stem.STEP_3] + list(stem.STEP_4)
+    heads = ["", "b", "y", "at", "hop", "sky", "say", "gener", "relat", "7b", "sensi"]
+    words = {h + e + x + z for h in heads for e in ends for x in ends for z in ("", "s", "y")} | set(stem.OWN) | set(stem.KEPT) | set(stem.KEPT_LATER)
+    for r in P._t(spark, sf, "documents").select("text").collect():
+        words |= set(matching.tokens(r.text or ""))
+    words = sorted(words - {""})
+    lexemes = sorted({stem.stem(w) for w in words})
+    for some in (lexemes, lexemes[::40]):
+        block = matching.Block([(i, 1, (x,)) for i, x in enumerate(some)], ("the",))
+        want = [-1 if w == "the" else block.lexemes.get(stem.stem(w), -1) for w in words]
+        asked, plain = [], stem.stem
+        with monkeypatch.context() as m:
+            m.setattr(stem, "stem", lambda w: asked.append(w) or plain(w))
+            code, sizes = block.encoded([" ".join(words), None, "", "THE the"])
+        assert code.tolist() == [*want, -1, -1] and sizes.tolist() == [len(words), 0, 0, 2]
+    assert len(asked) < len(words) / 4
+
+
+def test_pairs_below_the_best_are_not_scored(monkeypatch):
+    monkeypatch.setattr(matching, "PAIRS", 1)
+    block = matching.Block([(7, 5, ("a1", "b1", "c1"))])
+    texts = ["a1 b1 c1 " * 9, "a1 b1 c1", "a1 a1 a1 a1 a1 a1 a1 a1 b1 c1", "c1 b1 a1 " * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([1] * 4, pa.int64()), pa.array(texts)], ["chunk_id", "day", "text"])
+    scored, covers_of = [], matching._Table._covers
+    monkeypatch.setattr(matching._Table, "_covers", lambda self, rows, m: scored.append(len(rows)) or covers_of(self, rows, m))
+    (out,) = matching.ranked(SimpleNamespace(value=block), 1)(iter([batch.slice(i, 1) for i in range(4)]))
+    assert out.column("chunk_id").to_pylist() == [3] and sum(scored) == 2
+
+
+def test_query_words_are_stemmed_on_their_way(spark, monkeypatch):
+    """A search plans no SQL stages of the stemmer; rows of one query are one set."""
+    c = corpus(spark, [(1, "2024-01-01", "supply chains of the firm"), (2, "2024-03-01", "supplies")])
+    q = ask_for(spark, ("the supply", "2024-06-30"), ("of the", "2024-06-30"))
+    q = q.unionByName(q.where("qid = 0").selectExpr("qid", "'Chained!' as query", "as_of", *[x for x in q.columns if x not in ("qid", "query", "as_of")]))
+
+    def no_sql(words):
+        raise AssertionError("stemmed in SQL")
+
+    monkeypatch.setattr(stem, "stemmed", no_sql)
+    assert [(r.qid, r.chunk_id, r.m, r.n_hits) for r in retrieval.matches(c, q).collect()] == [(0, 0, 2, 2)]
