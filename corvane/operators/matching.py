@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from corvane.functions import stem
 #: Byte by byte, what is no part of a token becomes a blank.
 _BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 #: Distinct tokens, cells of a chunk-by-set table, hits in covers, and scored pairs that a task holds at a time.
-TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 20, 1 << 17
+TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 18, 1 << 17
 #: Most chunks of one table, and bytes of text after which no other chunk is tokenised with these.
 CHUNKS, TEXT = 128, 1 << 20
 
@@ -68,7 +69,9 @@ def _three(words) -> np.ndarray:
 
 
 _STARTS, _ENDS = _three(stem.CUT_STARTS), _three(stem.CUT_ENDS)
-_FACTOR, _SPREAD, _BITS = 1_000_003, np.uint64(0x9E3779B97F4A7C15), 20
+_FACTOR, _SPREAD, _OTHER, _BITS = 1_000_003, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 20
+#: The first n bytes of eight, as a number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _slots(number: np.ndarray) -> np.ndarray:
@@ -125,30 +128,52 @@ class Block:
         self.members = np.array([[self.lexemes[t[min(j, len(t) - 1)]] for j in range(wide)] for t in sets], np.int64)
         self.sieve = _Sieve(self.lexemes)
         self.met: dict[str, int] | None = None
+        self.kept: tuple[np.ndarray, ...] | None = None
 
     def coded(self, text: str) -> list[int]:
         """The codes of a text's tokens, in order; -1 for those that stand for no lexeme here."""
         return self.encoded([text])[0].tolist()
 
     def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, sizes): those of all texts' tokens, and how many tokens each text has.  Each distinct token is met once."""
+        """(codes, sizes): those of all texts' tokens, and how many tokens each text has.
+
+        The codes of words of at most 16 letters are kept by these letters as two numbers, one word to a slot; the words
+        that are not there are met, each distinct one once.
+        """
         if self.met is None or len(self.met) >= TOKENS:
             self.met = _Met(self)
+        if self.kept is None:
+            self.kept = np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.int32)
         raw = [text.lower().encode().translate(_BLANKED) if text else b"" for text in texts]
-        flat = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        flat = np.frombuffer(b" ".join([b"", *raw, b" " * 16]), np.uint8)
         held = flat != 32
         edges = np.flatnonzero(held[1:] != held[:-1]) + 1
         start, end = edges[::2], edges[1::2]
         sizes = np.diff(np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])))
-        offsets = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(end - start, out=offsets[1:])
-        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(flat[held])).dictionary_encode()
+        size = end - start
+        eights = np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
+        low, high = eights[start] & _MASKS[np.minimum(size, 8)], eights[np.minimum(start + 8, len(eights) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
+        slot = ((low ^ high * _OTHER) * _SPREAD) >> np.uint64(64 - _BITS)
+        lows, highs, codes = self.kept
+        code = codes[slot].astype(np.int64)
+        new = np.flatnonzero((lows[slot] != low) | (highs[slot] != high) | (size > 16))
+        if len(new):
+            code[new] = self._met_now(flat, start[new], size[new])
+            short = new[size[new] <= 16]
+            at, first = np.unique(slot[short], return_index=True)
+            lows[at], highs[at], codes[at] = low[short[first]], high[short[first]], code[short[first]]
+        return code, sizes
+
+    def _met_now(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The codes of the words at these places; each distinct word is sieved, and met if it passes."""
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(flat[_spread(start, size)[1]])).dictionary_encode()
         met = np.full(len(words.dictionary), -1)
         _, offsets, letters = words.dictionary.buffers()
         offsets = np.frombuffer(offsets, np.int64, len(met) + 1)
-        places = self.sieve.passed(np.frombuffer(letters, np.uint8, offsets[-1]), offsets[:-1], np.diff(offsets)) if len(met) else []
+        places = self.sieve.passed(np.frombuffer(letters, np.uint8, offsets[-1]), offsets[:-1], np.diff(offsets))
         met[places] = np.fromiter(map(self.met.__getitem__, words.dictionary.take(pa.array(places, pa.int64())).to_numpy(zero_copy_only=False)), np.int64, len(places))
-        return met[words.indices.to_numpy()], sizes
+        return met[words.indices.to_numpy()]
 
     def chunks_at_once(self) -> int:
         return max(1, min(CHUNKS, CELLS // max(len(self.qid), len(self.lexemes))))
@@ -167,8 +192,7 @@ def rounded(x: np.ndarray) -> np.ndarray:
 
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place): the places start, start + 1, .. of each row, as many as its count."""
-    row = np.repeat(np.arange(len(count)), count)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + start[row]
+    return np.repeat(np.arange(len(count)), count), np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
 
 
 class _Table:
@@ -177,9 +201,9 @@ class _Table:
     def __init__(self, block: Block, code: np.ndarray, sizes: np.ndarray, days: np.ndarray):
         self.block, self.n = block, len(sizes)
         chunk, pos = _spread(np.ones(self.n, np.int64), sizes)
-        held = code >= 0
-        key, pos = (code * self.n + chunk)[held], pos[held]
-        self.pos = pos[np.argsort(key, kind="stable")]  # by lexeme, chunk and place
+        held = np.flatnonzero(code >= 0)
+        key, self.places = code[held] * self.n + chunk[held], pos[held]
+        self.key = key
         self.tally = np.bincount(key, minlength=len(block.lexemes) * self.n)
         self.start = np.cumsum(self.tally) - self.tally
         has = (self.tally > 0).reshape(-1, self.n)
@@ -188,6 +212,16 @@ class _Table:
             both &= has[block.members[:, j]]
         self.set, self.chunk = np.nonzero(both)
 
+    @cached_property
+    def pos(self) -> np.ndarray:
+        """All places, by lexeme, chunk and place."""
+        bits = np.uint64(int(self.places.max(initial=0)).bit_length())
+        if int(self.key.max(initial=0)).bit_length() + int(bits) > 63:
+            return self.places[np.argsort(self.key, kind="stable")]
+        both = self.key.astype(np.uint64) << bits | self.places.astype(np.uint64)  # sorting one number is much faster than two
+        both.sort()
+        return (both & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+
     def cells(self, rows, j: int) -> np.ndarray:
         return self.block.members[self.set[rows], j] * self.n + self.chunk[rows]
 
@@ -219,40 +253,47 @@ class _Table:
         one = m == 1  # each hit is a cover
         if one.any():
             out[one] = np.cumsum(np.full(hits[one].max(), 0.1))[hits[one] - 1]
-        many = np.flatnonzero(~one)
-        group = (np.cumsum(hits[many]) - 1) // HITS
-        for rows in np.split(many, np.flatnonzero(np.diff(group)) + 1):
-            if len(rows):
-                out[rows] = self._covers(rows, m[rows])
+        for k in np.unique(m[~one]):
+            many = np.flatnonzero(m == k)
+            group = (np.cumsum(hits[many]) - 1) // HITS
+            for rows in np.split(many, np.flatnonzero(np.diff(group)) + 1):
+                out[rows] = self._covers(rows, int(k))
         return out
 
-    def _covers(self, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
-        parts = []
-        for j in range(int(m.max())):
-            some = np.flatnonzero(m > j)
-            cells = self.cells(rows[some], j)
-            row, place = _spread(self.start[cells], self.tally[cells])
-            parts.append((some[row], self.pos[place], np.full(len(row), j)))
-        pair, pos, k = (np.concatenate(x) for x in zip(*parts))
-        wide, high = int(k.max()) + 1, int(pos.max()) + 1
-        if len(rows) * high * wide < 1 << 62:  # sorting one number is much faster than two
-            key = (pair * high + pos) * wide + k
+    def _covers(self, rows: np.ndarray, m: int) -> np.ndarray:
+        """The sums of pairs whose sets have ``m`` lexemes, two at least."""
+        parts, hits = [], np.zeros(len(rows), np.int64)
+        for j in range(m):
+            cells = self.cells(rows, j)
+            pair, place = _spread(self.start[cells], self.tally[cells])
+            parts.append((pair, self.pos[place]))
+            hits += self.tally[cells]
+        wide, high = (m - 1).bit_length(), int(self.pos.max()).bit_length()
+        if len(rows).bit_length() + high + wide < 63:  # sorting one number is much faster than two
+            key = np.concatenate([(pair << high | pos) << wide | j for j, (pair, pos) in enumerate(parts)])
             key.sort()
-            key, k = np.divmod(key, wide)
-            pair, pos = np.divmod(key, high)
+            k, pos = key & (1 << wide) - 1, key >> wide & (1 << high) - 1
         else:
+            k = np.repeat(np.arange(m), [len(pos) for _, pos in parts])
+            pair, pos = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort([pos, pair])
-            pair, pos, k = pair[order], pos[order], k[order]
-        i = np.arange(len(pair))
-        begin = np.maximum.accumulate(np.where(np.diff(pair, prepend=-1) > 0, i, 0))  # of the pair's own hits
-        low = i.copy()
-        for j in range(int(m.max())):
-            last = np.maximum.accumulate(np.where(k == j, i, -1))
-            low = np.where(m[pair] > j, np.minimum(low, last), low)
-        before = np.where(i > begin, np.concatenate([[-1], low[:-1]]), -1)
-        ends = (low >= begin) & (low > before)  # the earliest of the last places moves here
-        e, s = i[ends], low[ends]
-        return np.bincount(pair[e], weights=0.1 / (1 + pos[e] - pos[s] - (e - s)), minlength=len(rows))
+            pos, k = pos[order], k[order]
+        first = np.cumsum(hits) - hits  # of the pair's own hits
+        if m == 2:  # two hits side by side of different lexemes
+            ends = k[1:] != k[:-1]
+            ends[first[1:] - 1] = False
+            s = np.flatnonzero(ends)
+            e = s + 1
+        else:
+            i = np.arange(len(k))
+            low = np.maximum.accumulate(np.where(k == 0, i, -1))
+            for j in range(1, m):
+                np.minimum(low, np.maximum.accumulate(np.where(k == j, i, -1)), out=low)
+            ends = low >= np.repeat(first, hits)  # and the earliest of the last places moves here
+            ends[1:] &= low[1:] > low[:-1]
+            e = np.flatnonzero(ends)
+            s = low[e]
+        return np.bincount(np.searchsorted(first, e, "right") - 1, weights=0.1 / (1 + pos[e] - pos[s] - (e - s)), minlength=len(rows))
 
 
 def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

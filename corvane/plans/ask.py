@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
@@ -19,6 +19,13 @@ def headed(hits: DataFrame, chunks: DataFrame, filings: DataFrame, companies: Da
     return found.join(filing, "filing_id").join(company, "company_id")
 
 
+def _stripped(text: Column, tail: int = 200) -> Column:
+    """Without white space at the end.  The pattern searches the last characters alone, unless these are all blank."""
+    last = F.right(text, F.lit(tail))
+    short = F.concat(F.substr(text, F.lit(1), F.char_length(text) - tail), F.regexp_replace(last, "\\s+\\z", ""))
+    return F.when(F.regexp_like(last, F.lit("\\S")), short).otherwise(F.regexp_replace(text, "\\s+\\z", ""))
+
+
 def sources(found: DataFrame) -> DataFrame:
     """(qid, n, sources): the sources of each query, numbered by rank, each under a header of its filing."""
     found = found.withColumn("i", F.expr("row_number() over (partition by qid order by rank)"))
@@ -26,7 +33,7 @@ def sources(found: DataFrame) -> DataFrame:
     block = F.concat(parts, F.lit("\n"), "text", F.lit("\n"))
     # as many as the search returns for one query
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", block.alias("block")))), lambda x: x["block"]), "\n")
-    return found.groupBy("qid").agg(F.count("*").alias("n"), F.regexp_replace(joined, "\\s+\\z", "").alias("sources"))
+    return found.groupBy("qid").agg(F.count("*").alias("n"), joined.alias("sources")).withColumn("sources", _stripped(F.col("sources")))
 
 
 def prompts(found: DataFrame, queries: DataFrame) -> DataFrame:

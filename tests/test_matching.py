@@ -4,9 +4,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import stem
 from corvane.operators import matching, retrieval
+from corvane.plans import ask
 from corvane.plans import queries as P
 from test_core import ask_for, corpus, covers
 
@@ -159,3 +161,44 @@ def test_reranking_tokenises_a_text_once(spark):
     out = spark.createDataFrame(rows, "a string, b string, want double").select("want", retrieval.jaccard("a", "b").alias("got"))
     assert [r.got for r in out.collect()] == [r[2] for r in rows]
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+
+
+def test_known_words_are_not_sieved_again(monkeypatch):
+    """Words are told apart by all their letters, also where they share a slot or their first 16 letters."""
+    monkeypatch.setattr(matching, "_BITS", 3)
+    words = ["a" * n for n in range(1, 20)] + ["b", "ab", "ba", "abcdefgha", "abcdefghb", "abcdefghijklmnop", "abcdefghijklmnopq", "0", "00"]
+    block = matching.Block([(i, 1, (w,)) for i, w in enumerate(sorted({stem.stem(w) for w in words[::2]}))], ("the",))
+    want = [block.lexemes.get(stem.stem(w), -1) for w in words]
+    for _ in range(3):
+        assert block.encoded([" ".join(words), None, words[-1]])[0].tolist() == [*want, want[-1]]
+    monkeypatch.setattr(matching, "_BITS", 20)
+    block = matching.Block([(1, 5, ("chain", "suppli"))], ("the",))
+    sieved, passed = [], block.sieve.passed
+    monkeypatch.setattr(block.sieve, "passed", lambda letters, start, size: sieved.append(len(start)) or passed(letters, start, size))
+    for _ in range(2):
+        assert block.coded("The chains, the supply!") == [-1, 0, -1, 1]
+    assert sieved == [3]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40])
+def test_covers_of_many_lexemes(monkeypatch, most):
+    monkeypatch.setattr(matching, "HITS", most)
+    rng = random.Random(9)
+    sets = [tuple(sorted(rng.sample("abcdef", n))) for n in (1, 2, 2, 3, 3, 4, 5, 6)]
+    texts = [" ".join(rng.choice("abcdefxy"[: rng.randint(6, 8)]) for _ in range(rng.randint(6, 60))) for _ in range(60)]
+    block = matching.Block([(i, 5, t) for i, t in enumerate(sets)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([1] * 60, pa.int64()), pa.array(texts)], ["chunk_id", "day", "text"])
+    got = {(r["qid"], r["chunk_id"]): r["score"] for b in matching.ranked(SimpleNamespace(value=block), 60)(iter([batch])) for r in b.to_pylist()}
+    want = {}
+    for q, t in enumerate(sets):
+        for i, text in enumerate(texts):
+            hits = [(p + 1, t.index(w)) for p, w in enumerate(text.split()) if w in t]
+            if len({k for _, k in hits}) == len(t):
+                want[q, i] = pytest.approx(covers(hits, len(t)), abs=1.1e-6)
+    assert got == want
+
+
+def test_white_space_at_the_end(spark):
+    texts = ["", " ", "a", "a \n", " a b\t\n" + " " * 500, "é" * 300 + " \r\n", " " * 400, ("x " * 150), "a" * 199 + " ", "a" + " " * 199, "a" + " " * 200, " \u00a0 "]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(ask._stripped(F.col("t")).alias("got")).collect()
+    assert [r.got for r in out] == [t.rstrip(" \t\n\x0b\f\r") for t in texts]
