@@ -24,9 +24,13 @@ TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 18, 1 << 17
 CHUNKS, TEXT = 128, 1 << 20
 
 
-def tokens(text: str) -> list[str]:
+def words(text: str) -> list[bytes]:
     """The same as ``functions.text.tokens``: runs of ``[a-z0-9]`` in the lower-case text."""
-    return text.lower().encode().translate(_BLANKED).decode("ascii").split()
+    return text.lower().encode().translate(_BLANKED).split()
+
+
+def tokens(text: str) -> list[str]:
+    return [w.decode("ascii") for w in words(text)]
 
 
 def distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

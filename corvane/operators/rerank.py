@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators.retrieval import jaccard
+from corvane.operators import matching
 
 
 class RerankerError(RuntimeError):
@@ -21,9 +21,24 @@ class Scorer(Protocol):
     def __call__(self, query: Column, text: Column) -> Column: ...
 
 
+@F.pandas_udf(T.DoubleType())
+def _overlap(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    last, held = None, frozenset()
+    for query, text in parts:
+        out = []
+        for q, t in zip(query, text):
+            if t != last:  # candidates of one text often come one after another
+                last, held = t, frozenset(matching.words(t)) if t else frozenset()
+            asked = set(matching.words(q)) if q else set()
+            both = len(asked & held)
+            out.append(both / max(len(asked) + len(held) - both, 1))
+        yield pd.Series(out, dtype="float64")
+
+
 def token_overlap(query: Column, text: Column) -> Column:
-    """Share of the two token sets that both have; 0 where both are empty."""
-    return F.round(jaccard(query, text), 6)
+    """Share of the two token sets that both have; 0 where both are empty.  The same as ``retrieval.jaccard``, rounded, by
+    the tokens of a search: by those expressions reranking took four times as long."""
+    return F.round(_overlap(query, text), 6)
 
 
 def cross_encoder(load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], batch: int = 32) -> Scorer:

@@ -2,12 +2,13 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import stem
-from corvane.operators import matching, retrieval
+from corvane.operators import matching, rerank, retrieval
 from corvane.plans import ask
 from corvane.plans import queries as P
 from test_core import ask_for, corpus, covers
@@ -202,3 +203,16 @@ def test_white_space_at_the_end(spark):
     texts = ["", " ", "a", "a \n", " a b\t\n" + " " * 500, "é" * 300 + " \r\n", " " * 400, ("x " * 150), "a" * 199 + " ", "a" + " " * 199, "a" + " " * 200, " \u00a0 "]
     out = spark.createDataFrame([(t,) for t in texts], "t string").select(ask._stripped(F.col("t")).alias("got")).collect()
     assert [r.got for r in out] == [t.rstrip(" \t\n\x0b\f\r") for t in texts]
+
+
+def test_overlap_tokenises_equal_texts_once(spark, monkeypatch):
+    """Reranking takes tokens as the search does, with the results of the expressions."""
+    rows = [(1, "a b b", "B c"), (2, "a", None), (3, "", ""), (4, "x y", "y, x!"), (5, None, "a"), (6, "a b c", "c d e f"), (7, "İ k", "\u212a i x"), (8, "a", "\t \u00e9"), (9, None, None), (10, "b", "a b"), (11, "a", "a b"), (12, "c", None)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").coalesce(1)
+    got = df.select(rerank.token_overlap(F.col("a"), F.col("b")).alias("got"), F.round(retrieval.jaccard("a", "b"), 6).alias("want"))
+    assert "regexp_extract_all" not in df.select(rerank.token_overlap(F.col("a"), F.col("b")))._jdf.queryExecution().toString()
+    assert [r.got for r in got.collect()] == [r.want for r in got.collect()]
+    met, plain = [], matching.words
+    monkeypatch.setattr(matching, "words", lambda t: met.append(t) or plain(t))
+    assert [list(x) for x in rerank._overlap.func(iter([(pd.Series(["a", "b"]), pd.Series(["a b", "a b"])), (pd.Series(["c", None]), pd.Series(["a b", None]))]))] == [[0.5, 0.5], [0.0, 0.0]]
+    assert met.count("a b") == 1
