@@ -16,17 +16,23 @@ import pyarrow.compute as pc
 
 from corvane.functions import stem
 
-#: Byte by byte, what is no part of a token becomes a blank.
-_BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789"
+#: Byte by byte, A-Z become a-z and what is no part of a token a blank.
+_BLANKED = bytes(x if (x := ord(chr(c).lower()) if c < 128 else c) in _LETTERS else 32 for c in range(256))
 #: Distinct tokens, cells of a chunk-by-set table, hits in covers, and scored pairs that a task holds at a time.
 TOKENS, CELLS, HITS, PAIRS = 300_000, 1 << 22, 1 << 18, 1 << 17
 #: Most chunks of one table, and bytes of text after which no other chunk is tokenised with these.
 CHUNKS, TEXT = 128, 1 << 20
 
 
+def _blanked(text: str) -> bytes:
+    """The lower-case text with blanks between its tokens."""
+    return (text if text.isascii() else text.lower()).encode().translate(_BLANKED)
+
+
 def words(text: str) -> list[bytes]:
     """The same as ``functions.text.tokens``: runs of ``[a-z0-9]`` in the lower-case text."""
-    return text.lower().encode().translate(_BLANKED).split()
+    return _blanked(text).split()
 
 
 def tokens(text: str) -> list[str]:
@@ -60,7 +66,7 @@ class _Met(dict):
 
 #: Letters and digits from 1; and three of them as one number, 0 where there is none.
 _NUMBER = np.zeros(256, np.int64)
-_NUMBER[[c for c in range(256) if _BLANKED[c] != 32]] = np.arange(1, 37)
+_NUMBER[sorted(_LETTERS)] = np.arange(1, 37)
 
 
 def _three(words) -> np.ndarray:
@@ -148,7 +154,7 @@ class Block:
             self.met = _Met(self)
         if self.kept is None:
             self.kept = np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.int32)
-        raw = [text.lower().encode().translate(_BLANKED) if text else b"" for text in texts]
+        raw = [_blanked(text) if text else b"" for text in texts]
         flat = np.frombuffer(b" ".join([b"", *raw, b" " * 16]), np.uint8)
         held = flat != 32
         edges = np.flatnonzero(held[1:] != held[:-1]) + 1
@@ -204,18 +210,23 @@ class _Table:
 
     def __init__(self, block: Block, code: np.ndarray, sizes: np.ndarray, days: np.ndarray):
         self.block, self.n = block, len(sizes)
-        chunk, pos = _spread(np.ones(self.n, np.int64), sizes)
         held = np.flatnonzero(code >= 0)
-        key, self.places = code[held] * self.n + chunk[held], pos[held]
-        self.key = key
-        self.tally = np.bincount(key, minlength=len(block.lexemes) * self.n)
-        self.start = np.cumsum(self.tally) - self.tally
+        end = np.cumsum(sizes)
+        count = np.diff(np.searchsorted(held, end), prepend=0)
+        chunk = np.repeat(np.arange(self.n), count)
+        self.places, self.key = held + 1 - np.repeat(end - sizes, count), code[held] * self.n + chunk
+        self.tally = np.bincount(self.key, minlength=len(block.lexemes) * self.n)
         has = (self.tally > 0).reshape(-1, self.n)
         both = block.latest[:, None] >= days[None, :]
         for j in range(block.members.shape[1]):
             both &= has[block.members[:, j]]
         self.set, self.chunk = np.nonzero(both)
 
+    @cached_property
+    def start(self) -> np.ndarray:
+        """Where the places of each lexeme in each chunk begin."""
+        return np.cumsum(self.tally) - self.tally
+
     @cached_property
     def pos(self) -> np.ndarray:
         """All places, by lexeme, chunk and place."""

@@ -216,3 +216,18 @@ def test_overlap_tokenises_equal_texts_once(spark, monkeypatch):
     monkeypatch.setattr(matching, "words", lambda t: met.append(t) or plain(t))
     assert [list(x) for x in rerank._overlap.func(iter([(pd.Series(["a", "b"]), pd.Series(["a b", "a b"])), (pd.Series(["c", None]), pd.Series(["a b", None]))]))] == [[0.5, 0.5], [0.0, 0.0]]
     assert met.count("a b") == 1
+
+
+def test_counting_leaves_places_unordered(monkeypatch):
+    """Matches are counted by tallies alone; tokens are the same with and without letters beyond ASCII."""
+    block = matching.Block([(7, 5, ("a1", "b1")), (8, 5, ("a1",))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([1, 1, 1, 1, 6], pa.int64()), pa.array(["A1 x B1 a1", None, "É B1 İa1 A1", "b1", "a1"])], ["chunk_id", "day", "text"])
+    asked = []
+    monkeypatch.setattr(matching.np, "argsort", lambda *a, **b: asked.append(a))
+    made, hits = [], matching._Table.hits
+    monkeypatch.setattr(matching._Table, "hits", lambda self: made.append(self) or hits(self))
+    (out,) = matching.counted(SimpleNamespace(value=block))(iter([batch]))
+    assert sorted(tuple(r.values()) for r in out.to_pylist()) == [(7, 0, 2, 3), (7, 2, 2, 3), (8, 0, 1, 2), (8, 2, 1, 2)]
+    (table,) = made
+    assert asked == [] and not {"pos", "start"} & set(vars(table))
+    assert table.pos[table.start[1 * 5 + 0]] == 3 and table.pos[table.start[0 * 5 + 2]] == 3
